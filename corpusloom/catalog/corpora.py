@@ -15,7 +15,7 @@ from corpusloom.operators import bow
 from corpusloom.operators.ordering import ordered_positions
 from corpusloom.plans import corpora
 
-CLASS_LIMIT = 1000
+CLASS_LIMIT = 500
 GENERAL = ("mark_good", "en_src0")
 MERGED = {"en_src1": "en_pair", "en_src2": "en_pair", "de_src3": "de_src4"}
 

@@ -118,13 +118,23 @@ class Corpus:
             writers.write_doc_text(part, f"{path.rstrip('/')}/{name}", self.order.columns())
 
 
-def build(docs: DataFrame, settings: Settings, order: Order, binary: bool, carry: Sequence[str] = ()) -> Corpus:
+def build(
+    docs: DataFrame,
+    settings: Settings,
+    order: Order,
+    binary: bool,
+    carry: Sequence[str] = (),
+    written: bool = False,
+) -> Corpus:
     """Vocabulary and sparse rows of documents that have text, label and split.
 
-    The cleaned documents are written once: fitting and transforming both read them.
+    The cleaned documents are written once, since fitting and transforming both read them. ``written``
+    says they already are, but for their split, which is cheap to find again.
     """
     supervised = F.when(F.col("split") != "unsup", F.col("label"))
-    docs = materialize(docs.withColumn("label", supervised.cast("int")), "docs")
+    docs = docs.withColumn("label", supervised.cast("int"))
+    if not written:
+        docs = materialize(docs, "docs")
     rows = bow.token_rows(docs, ["split"], pattern=settings.token_pattern)
     rows = bow.filter_stop_words(rows, settings.stop_words)
     vocab = bow.fit_vocab(rows, settings.fit_scope, settings.order_scope)
@@ -157,7 +167,8 @@ def newsgroup_corpus(
     numbered = corpus.assign_doc_ids(docs, "split", ("train", "test", "unsup"), key)
     kept = materialize(drop_empty(numbered).select("doc_id", "label", "split", "text"), "messages")
     order = Order(seed=settings.seed)
-    return build(splits.split_given(kept, settings.sup_valid, order=order), settings, order, len(categories) == 2)
+    cut = splits.split_given(kept, settings.sup_valid, order=order)
+    return build(cut, settings, order, len(categories) == 2, written=True)
 
 
 def review_corpus(
@@ -175,7 +186,7 @@ def review_corpus(
     order = Order(seed=settings.seed)
     binary = len(categories) == 2 or corpus.is_binary(docs).first()["is_binary"]
     cut = splits.split_nested(docs, settings.train_test, settings.sup_unsup, settings.sup_valid, order)
-    return build(cut, settings, order, binary)
+    return build(cut, settings, order, binary, written=True)
 
 
 def movie_corpus(reviews: DataFrame, settings: Settings = MOVIES) -> Corpus:
