@@ -11,6 +11,7 @@ from corpusloom.functions.labels import category_label, svmlight_line
 from corpusloom.functions.text import ENGLISH_STOP_WORDS, UNICODE_TOKEN
 from corpusloom.operators import bow
 from corpusloom.operators.ordering import ordered_positions
+from corpusloom.session import materialize
 
 FIT = ("train", "unsup")
 ORDER = ("train",)
@@ -57,20 +58,21 @@ def _vocab_by_unicode_token(spark, sf):
     return bow.fit_vocab(tokens).select("word_id", "term", "train_count")
 
 
-def _doc_word(spark, sf):
-    tf = bow.term_frequency(table(spark, sf, "documents"))
-    words = ordered_positions(tf.select("term").distinct(), ["term"], "word_id")
+def doc_word_tables(spark, sf):
+    """``doc_word(doc_id, word_id, n)`` and ``words(word_id, term)``, written as given tables are."""
+    tf = materialize(bow.term_frequency(table(spark, sf, "documents")), "tf")
+    words = materialize(ordered_positions(tf.select("term").distinct(), ["term"], "word_id"), "words")
     doc_word = tf.join(words, "term").select("doc_id", "word_id", F.col("tf").alias("n"))
-    return doc_word, words
+    return materialize(doc_word, "doc_word"), words
 
 
 def _reindex(spark, sf):
-    return bow.reindex_words(*_doc_word(spark, sf))[0]
+    return bow.reindex_words(*doc_word_tables(spark, sf))[0]
 
 
 def _zero_based(spark, sf):
     docs = table(spark, sf, "documents")
-    moved, _ = bow.reindex_words(*_doc_word(spark, sf))
+    moved, _ = bow.reindex_words(*doc_word_tables(spark, sf))
     docs = docs.select("doc_id", category_label("lang", LABEL_ORDER).alias("label"))
     rows = bow.pack_bow(docs, moved.withColumnRenamed("n", "tf"))
     return rows.select("doc_id", svmlight_line("label", "features", False, 0).alias("line"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import ENGLISH_STOP_WORDS
+from corpusloom.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +19,9 @@ TEST_SOURCES = ("src0", "src1", "src2", "src3")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; documents are spread, since their text is what costs."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

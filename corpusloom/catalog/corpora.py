@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.catalog.bags import doc_word_tables
 from corpusloom.catalog.common import (
     CHOSEN, CLEAN_MOVIE_NEG, CLEAN_MOVIE_POS, CLEAN_NEWSGROUPS, CLEAN_REVIEWS, DOCUMENTS, GIVEN_SPLIT, LANGS, SEED,
     bag_ctes, ceil_div, documents, given_split, given_split_sql, line_sql, nested_split_sql, shuffle_hash, sql_list, table,
     tokens_sql,
 )
 from corpusloom.catalog.taxa import category_ctes, taxon_tables
-from corpusloom.catalog.topics import HIERARCHY, hierarchy
-from corpusloom.operators import bow
-from corpusloom.operators.ordering import ordered_positions
+from corpusloom.catalog.topics import hierarchy
 from corpusloom.plans import corpora
 
 CLASS_LIMIT = 500
@@ -54,11 +53,8 @@ def newswire(spark, sf):
 def news(spark, sf, train_test=None):
     docs = table(spark, sf, "documents").select("doc_id")
     taxons, doc_taxon = taxon_tables(spark, sf)
-    tf = bow.term_frequency(table(spark, sf, "documents"))
-    words = ordered_positions(tf.select("term").distinct(), ["term"], "word_id")
-    doc_word = tf.join(words, "term").select("doc_id", "word_id", F.col("tf").alias("n"))
     return corpora.news_corpus(
-        docs, taxons, doc_taxon, doc_word, words, rarest=5, general=GENERAL, merged=MERGED, train_test=train_test
+        docs, taxons, doc_taxon, *doc_word_tables(spark, sf), rarest=5, general=GENERAL, merged=MERGED, train_test=train_test
     )
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.common import CLEAN_REVIEWS, LANGS, documents, table
-from corpusloom.catalog.topics import hierarchy
+from corpusloom.catalog.topics import HIERARCHY, hierarchy
 from corpusloom.functions.text import clean_text
 from corpusloom.session import shared_dir
 from corpusloom.sources import readers
@@ -71,9 +71,6 @@ QUERIES = {
         _hierarchy,
         """SELECT replace(child, ' ', '_') AS child, replace(parent, ' ', '_') AS parent,
                   regexp_extract(description, '^[^ ]*') AS description
-           FROM ("""
-        + """SELECT r_name AS child, 'Root' AS parent, lower(r_name) AS description FROM region
-             UNION ALL SELECT n_name, r_name, lower(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey
-             UNION ALL SELECT c_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
+           FROM (""" + HIERARCHY + ")",
     ),
 }

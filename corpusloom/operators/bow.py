@@ -128,7 +128,7 @@ def transform_bow(
 def packed(word_id: str = "word_id", tf: str = "tf") -> Column:
     """Sparse row of a document, by word id; rows without a word id or a count add nothing."""
     entry = F.struct(F.col(word_id).alias("word_id"), F.col(tf).alias("tf"))
-    return F.array_sort(F.collect_list(F.when(F.col(word_id).isNotNull() & (F.col(tf) != 0), entry)))
+    return F.sort_array(F.collect_list(F.when(F.col(word_id).isNotNull() & (F.col(tf) != 0), entry)))
 
 
 def pack_bow(docs: DataFrame, bow: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

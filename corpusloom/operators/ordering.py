@@ -108,13 +108,17 @@ def with_position(
     )
 
 
-def keys_at(df: DataFrame, order: Order, ends: Ends) -> Column:
-    """Scalar map from i to the row key at position ``ends(row count)[i]``; no entry past the last row."""
+def keys_at(df: DataFrame, order: Order, ends: Ends) -> dict[int, Column]:
+    """Row key at position ``ends(row count)[i]``, by i; no entry past the last row.
+
+    Runs at once and brings back one key per requested position, so that whatever follows compares
+    rows with constants instead of finding the keys again.
+    """
     if order.seed is None:
         places = ordered_positions(df.select(*order.keys), [F.col(k) for k in order.keys], "_at")
         total = places.agg(F.count(F.lit(1)).alias("_total"))
         wanted = total.select(F.posexplode(F.array(*ends(F.col("_total")))).alias("_cut", "_at"))
-        found = places.join(F.broadcast(wanted), "_at").select("_cut", order.row_key().alias("_key"))
+        found = places.join(F.broadcast(wanted), "_at")
     else:
         hashed = hash_buckets(df, order)
         wanted = (
@@ -128,7 +132,10 @@ def keys_at(df: DataFrame, order: Order, ends: Ends) -> Column:
             hashed.join(F.broadcast(wanted), "_bucket")
             .withColumn("_row", F.row_number().over(in_bucket) - 1)
             .where("_row = _rank")
-            .select("_cut", F.struct("_hash", *order.keys).alias("_key"))
         )
-    # At most one row per requested position.
-    return found.agg(F.map_from_entries(F.collect_list(F.struct("_cut", "_key")))).scalar()
+    columns = [c for c in ("_hash", *order.keys) if c in found.columns]
+    types = {f.name: f.dataType for f in found.schema}
+    return {
+        row["_cut"]: F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in columns])
+        for row in found.select("_cut", *columns).collect()
+    }

@@ -51,8 +51,8 @@ def split_at(
     cuts = keys_at(df.where(marked), order, ends)
     part: Column = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):
-        cut = F.try_element_at(cuts, F.lit(i))
-        part = F.when(cut.isNull() | (order.row_key() < cut), F.lit(names[i])).otherwise(part)
+        # Without a row at its end, a part takes all the rows that are left.
+        part = F.when(order.row_key() < cuts[i], F.lit(names[i])).otherwise(part) if i in cuts else F.lit(names[i])
     if within is not None:
         part = F.when(marked, part).otherwise(F.col(column))
     return df.withColumn(column, part)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import svmlight_line, text_line
-from corpusloom.functions.text import ASCII_TOKEN, ENGLISH_STOP_WORDS, clean, drop_empty, strip_parts
+from corpusloom.functions.text import ASCII_TOKEN, ENGLISH_STOP_WORDS, clean, strip_parts
 from corpusloom.operators import bow, corpus, labels, sampling, splits, taxonomy
 from corpusloom.operators.ordering import Order
 from corpusloom.session import materialize
@@ -165,7 +165,9 @@ def newsgroup_corpus(
         clean(text, "newsgroups").alias("text"),
     )
     numbered = corpus.assign_doc_ids(docs, "split", ("train", "test", "unsup"), key)
-    kept = materialize(drop_empty(numbered).select("doc_id", "label", "split", "text"), "messages")
+    # Written with its length, so that dropping the empty ones neither cleans twice nor reads the text.
+    written = materialize(numbered.select("doc_id", "label", "split", "text", F.length("text").alias("n_chars")), "messages")
+    kept = written.where("n_chars > 0").drop("n_chars")
     order = Order(seed=settings.seed)
     cut = splits.split_given(kept, settings.sup_valid, order=order)
     return build(cut, settings, order, len(categories) == 2, written=True)
@@ -224,6 +226,15 @@ def newswire_corpus(
     return build(cut, settings, order, False), topics
 
 
+# Output names, for labelled documents kept together and for those split into train and test.
+TAXON_BOW_FILES = {"sup": "labeledBow.feat", "unsup": "unsupBow.feat"}
+TAXON_SPLIT_BOW_FILES = {
+    "train": "train/labeledBow.feat",
+    "unsup": "train/unsupBow.feat",
+    "test": "test/labeledBow.feat",
+}
+
+
 @dataclass(frozen=True)
 class TaxonCorpus:
     """Labelled and unlabelled documents over a given document-word table."""
@@ -233,6 +244,7 @@ class TaxonCorpus:
     vocab: DataFrame
     features: DataFrame
     index_base: int = 0
+    files: Mapping[str, str] = field(default_factory=lambda: TAXON_BOW_FILES)
 
     def svmlight(self) -> DataFrame:
         line = svmlight_line("label", "features", False, self.index_base)
@@ -246,21 +258,9 @@ class TaxonCorpus:
         dataset = f"{path}/{writers.DATASET}"
         writers.write_dataset(self.features, dataset)
         stored = self.features.sparkSession.read.parquet(dataset)
-        for split, name in TAXON_BOW_FILES.items():
-            rows = stored.where(F.col("split") == split)
-            if not rows.isEmpty():
-                writers.write_svmlight(rows, f"{path}/{name}", False, self.index_base)
-        writers.write_vocab(self.vocab, f"{path}/{TAXON_VOCAB_FILE}")
-
-
-# Output names; ``train`` and ``test`` are used when the labelled documents are split.
-TAXON_BOW_FILES = {
-    "sup": "labeledBow.feat",
-    "unsup": "unsupBow.feat",
-    "train": "train/labeledBow.feat",
-    "test": "test/labeledBow.feat",
-}
-TAXON_VOCAB_FILE = "vocab"
+        for split, name in self.files.items():
+            writers.write_svmlight(stored.where(F.col("split") == split), f"{path}/{name}", False, self.index_base)
+        writers.write_vocab(self.vocab, f"{path}/{writers.VOCAB_FILE}")
 
 
 def news_corpus(
@@ -294,7 +294,9 @@ def news_corpus(
     moved, vocab = bow.reindex_words(doc_word, words)
     rows = moved.withColumnRenamed("n", "tf")
     categories = merged_ids.select("new_id", "new_category").distinct()
-    return TaxonCorpus(categories, doc_splits, vocab, bow.pack_bow(doc_splits, rows), settings.index_base)
+    features = bow.pack_bow(doc_splits, rows)
+    files = TAXON_BOW_FILES if train_test is None else TAXON_SPLIT_BOW_FILES
+    return TaxonCorpus(categories, doc_splits, vocab, features, settings.index_base, files)
 
 
 def with_settings(settings: Settings, **changes: object) -> Settings:
