@@ -18,9 +18,8 @@ from corpusloom.session import materialize
 
 BROADCAST_BYTES = 64 << 20  # a vocabulary of at most this size is broadcast whole
 ROW_BYTES = 48  # room a broadcast row takes beside its term
-HEAD_TERMS = 200_000  # of a larger one, the most frequent terms are broadcast
-HEAD_TERM_LENGTH = 64  # unless longer than this, which bounds the broadcast head's size
-TAIL_SALTS = 16
+HEAD_TERMS = 100_000  # of a larger one, terms that hold at least one in so many rows are broadcast
+HEAD_TERM_LENGTH = 256  # unless longer than this
 
 
 def tokenize(df: DataFrame, col: str = "text", pattern: str = ASCII_TOKEN, name: str = "tokens") -> DataFrame:
@@ -94,35 +93,40 @@ def _fits_broadcast(vocab: DataFrame, limit: int) -> bool:
 
 
 def _match_terms(
-    terms: DataFrame, vocab: DataFrame, salt_by: Sequence[str], keep_unmatched: bool, broadcast_bytes: int, head_terms: int
+    terms: DataFrame, vocab: DataFrame, keep_unmatched: bool, broadcast_bytes: int, head_terms: int
 ) -> DataFrame:
     columns = [c for c in terms.columns if c != "term"]
     how = "left" if keep_unmatched else "inner"
     ids = vocab.select("term", "word_id")
     if _fits_broadcast(ids, broadcast_bytes):
         return terms.join(F.broadcast(ids), "term", how).select(*columns, "word_id")
-    # Frequent terms match where they lie; the rest are shuffled with a salt, so that a term the
-    # ordering counts missed, yet frequent elsewhere, spreads over several tasks.
+    # No more than head_terms terms can each hold 1/head_terms of the rows, so the frequent ones fit a
+    # broadcast and match where they lie, whether or not the vocabulary knows them. The others are
+    # shuffled by term, none of them a hot key.
     terms = materialize(terms, "doc_terms")
-    in_head = (F.col("word_id") < head_terms) & (F.length("term") <= HEAD_TERM_LENGTH)
-    head = F.broadcast(ids.where(in_head))
-    near = terms.join(head, "term", how).select(*columns, "word_id")
-    salts = F.explode(F.array(*[F.lit(i) for i in range(TAIL_SALTS)]))
-    tail = ids.where(~in_head).withColumn("_salt", salts)
-    salt = F.pmod(F.xxhash64(*salt_by), F.lit(TAIL_SALTS)).cast("int")
-    far = terms.join(head, "term", "left_anti").withColumn("_salt", salt).join(tail, ["term", "_salt"])
+    least = terms.count() / max(head_terms, 1)
+    frequent = materialize(
+        terms.where(F.length("term") <= HEAD_TERM_LENGTH)
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where((F.col("_rows") >= least) & F.lit(head_terms > 0))
+        .select("term"),
+        "frequent_terms",
+    )
+    known = ids.join(F.broadcast(frequent), "term")
+    near = terms.join(F.broadcast(known), "term", how).select(*columns, "word_id")
+    far = terms.join(F.broadcast(frequent), "term", "left_anti").join(ids, "term")
     return near.unionByName(far.select(*columns, "word_id"))
 
 
 def transform_bow(
     terms: DataFrame,
     vocab: DataFrame,
-    keys: Sequence[str] = ("doc_id",),
     broadcast_bytes: int = BROADCAST_BYTES,
     head_terms: int = HEAD_TERMS,
 ) -> DataFrame:
     """Word ids for terms; terms outside the vocabulary are dropped."""
-    return _match_terms(terms, vocab, keys, False, broadcast_bytes, head_terms)
+    return _match_terms(terms, vocab, False, broadcast_bytes, head_terms)
 
 
 def packed(word_id: str = "word_id", tf: str = "tf") -> Column:
@@ -150,7 +154,7 @@ def bag_of_words(
 ) -> DataFrame:
     """Text to sparse rows in one shuffle: count, look up and pack by document."""
     terms = term_frequency(docs, keys, carry, text, pattern, outer=True)
-    matched = _match_terms(terms, vocab, keys, True, broadcast_bytes, head_terms)
+    matched = _match_terms(terms, vocab, True, broadcast_bytes, head_terms)
     return matched.groupBy(*keys, *carry).agg(packed().alias("features"))
 
 

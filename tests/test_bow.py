@@ -63,13 +63,17 @@ def test_large_vocabulary_path_gives_the_same_rows(docs, head_terms):
     assert features(bow.pack_bow(docs.select("doc_id"), long)) == EXPECTED
 
 
-def test_large_vocabulary_path_with_a_hot_tail_term(spark):
-    docs = spark.range(400).selectExpr("id AS doc_id", "if(id < 5, 'train', 'unsup') AS split", "concat('hot w', id) AS text")
-    rows = bow.token_rows(docs, ["split"])
-    vocab = bow.fit_vocab(rows, None, ["train"])
+def test_large_vocabulary_path_with_hot_terms(spark):
+    """A term the ordering never counted, and one outside the vocabulary, hold a third of the rows each."""
+    docs = spark.range(400).selectExpr(
+        "id AS doc_id", "if(id < 5, 'train', if(id < 200, 'unsup', 'test')) AS split", "concat('hot w', id, if(id >= 5, ' oov', '')) AS text"
+    )
+    rows = bow.token_rows(docs, ["split"]).where("term <> 'oov'")
+    vocab = bow.fit_vocab(rows, ["train", "unsup"], ["train"])
     plain = features(bow.bag_of_words(docs, vocab))
-    assert features(bow.bag_of_words(docs, vocab, broadcast_bytes=0, head_terms=3)) == plain
-    assert all(len(f) == 2 for f in plain.values())
+    assert len(plain) == 400 and all(len(f) == (2 if d < 200 else 1) for d, f in plain.items())
+    for head_terms in (2, 10, 10_000):
+        assert features(bow.bag_of_words(docs, vocab, broadcast_bytes=0, head_terms=head_terms)) == plain
 
 
 def test_term_counts_are_kept_by_lookup_and_reindex(spark, docs):
