@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.common import CLEAN_REVIEWS, LANGS, documents, table
 from corpusloom.catalog.topics import HIERARCHY, hierarchy
 from corpusloom.functions.text import clean_text
-from corpusloom.session import shared_dir
+from corpusloom.session import new_path
 from corpusloom.sources import readers
 
 
-def _path(spark, name):
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-
-
 def _reviews(spark, sf):
-    root = _path(spark, "reviews")
+    root = new_path(spark, "reviews")
     docs = documents(spark, sf).select(
         "category", F.col("text").alias("reviewText"), F.col("doc_id").cast("string").alias("reviewerID"), F.lit(5).alias("overall")
     )
@@ -29,7 +23,7 @@ def _reviews(spark, sf):
 
 
 def _marked(spark, sf):
-    path = _path(spark, "marked")
+    path = new_path(spark, "marked")
     docs = clean_text(table(spark, sf, "documents").select("doc_id", "text"))
     record = F.concat(F.lit(".I "), "doc_id", F.lit("\n.W\n"), F.regexp_replace("text", " ", "\n"), F.lit("\n"))
     docs.select(record.alias("value")).write.text(path, compression="gzip")
@@ -37,7 +31,7 @@ def _marked(spark, sf):
 
 
 def _topic_lines(spark, sf):
-    path = _path(spark, "topic-lines")
+    path = new_path(spark, "topic-lines")
     events = table(spark, sf, "events").orderBy("event_id")
     events.coalesce(1).select(F.concat_ws(" ", "event_type", "user_id", F.lit("1")).alias("value")).write.text(path)
     lines = readers.read_topic_lines(spark, path)
@@ -45,7 +39,7 @@ def _topic_lines(spark, sf):
 
 
 def _hierarchy(spark, sf):
-    path = _path(spark, "hierarchy")
+    path = new_path(spark, "hierarchy")
     line = F.concat(
         F.lit("parent: "), F.regexp_replace("parent", " ", "_"), F.lit(" child: "), F.regexp_replace("child", " ", "_"),
         F.lit(" child-description: "), "description",

@@ -25,11 +25,11 @@ def _clean_sql(expr):
 _QUOTE = "(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\\||^>)"
 
 
-def _strip_sql(rows):
+def _strip_sql(rows, headers=True):
+    body = "CASE WHEN instr(text, chr(10) || chr(10)) > 0 THEN substr(text, instr(text, chr(10) || chr(10)) + 2) ELSE '' END"
     return f"""
 WITH m AS ({rows}),
-h AS (SELECT * REPLACE (CASE WHEN instr(text, chr(10) || chr(10)) > 0
-                             THEN substr(text, instr(text, chr(10) || chr(10)) + 2) ELSE '' END AS text) FROM m),
+h AS (SELECT * REPLACE ({body if headers else 'text'} AS text) FROM m),
 q AS (SELECT * REPLACE (array_to_string(list_filter(string_split(text, chr(10)),
                         lambda l: NOT regexp_matches(l, '{_QUOTE}')), chr(10)) AS text) FROM h),
 s AS (SELECT *, string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), chr(10)) AS lines FROM q),
@@ -86,14 +86,8 @@ QUERIES = {
         _strip_sql("SELECT doc_id, text FROM documents"),
     ),
     "strip_message_turns": (
-        lambda spark, sf: strip_message_parts(
-            table(spark, sf, "conversations")
-            .groupBy("conv_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n\n").alias("text"))
-        ),
-        _strip_sql(
-            "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id"
-        ),
+        lambda spark, sf: strip_message_parts(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), headers=False),
+        _strip_sql("SELECT conv_id, turn, role, text FROM conversations", headers=False),
     ),
     "drop_empty": (
         lambda spark, sf: drop_empty(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,10 +64,11 @@ def ordered_positions(df: DataFrame, order: Sequence[Column | str], position: st
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))),
         "placed",
     )
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    # One row per shuffle partition.
-    return placed.join(F.broadcast(starts), "_part").select(*columns, (F.col("_start") + F.col("_row")).alias(position))
+    # One count per shuffle partition comes back; their running sums become one constant array.
+    counts = dict(placed.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    sizes = [counts.get(part, 0) for part in range(max(counts, default=0) + 1)]
+    starts = F.split(F.lit(",".join(map(str, accumulate(sizes, initial=0)))), ",").cast("array<bigint>")
+    return placed.select(*columns, (starts[F.col("_part")] + F.col("_row")).alias(position))
 
 
 def hash_buckets(df: DataFrame, order: Order, group: Sequence[str] = ()) -> DataFrame:

@@ -64,10 +64,12 @@ def split_ratio(
     names: Sequence[str] = ("train", "test"),
     order: Order = Order(),
     column: str = "split",
+    within: str | None = None,
 ) -> DataFrame:
+    """Parts in the given ratio; with ``within``, of the rows already marked so."""
     if len(ratio) != len(names):
         raise ValueError("need one name per part of the ratio")
-    return split_at(df, order, lambda total: part_ends(total, ratio), names, column)
+    return split_at(df, order, lambda total: part_ends(total, ratio), names, column, within)
 
 
 def split_nested(
@@ -103,4 +105,4 @@ def split_given(
     column: str = "split",
 ) -> DataFrame:
     """Cut only the rows already marked ``within``; the other marks stay."""
-    return split_at(df, order, lambda total: part_ends(total, ratio), names, column, within)
+    return split_ratio(df, ratio, names, order, column, within)

@@ -62,12 +62,13 @@ ALL = (*TRAIN_AND_UNSUP, "test")
 
 @dataclass(frozen=True)
 class Settings:
-    """What the corpora share; ``seed=None`` keeps the input order instead of shuffling."""
+    """What the corpora share; ``seed=None`` keeps the order of document ids instead of shuffling."""
 
     sup_valid: tuple[int, ...] = (8, 2)
     train_test: tuple[int, ...] = (8, 2)
     sup_unsup: tuple[int, ...] = (10, 300)
     seed: int | None = None
+    sample_seed: int = 1234
     stop_words: Sequence[str] | DataFrame = ENGLISH_STOP_WORDS
     token_pattern: str = ASCII_TOKEN
     fit_scope: tuple[str, ...] = TRAIN_AND_UNSUP
@@ -183,7 +184,7 @@ def review_corpus(
 ) -> Corpus:
     """Reviews ``(doc_id, category, text)``: an equal sample of each category, cleaned, cut three times."""
     labelled = corpus.label_categories(reviews.select("doc_id", "category", "text"), categories, all_categories)
-    sample = sampling.sample_per_category(labelled, "category", class_limit, settings.seed or 0, strict=strict)
+    sample = sampling.sample_per_category(labelled, "category", class_limit, settings.sample_seed, strict=strict)
     docs = materialize(sample.select("doc_id", "label", clean("text", "reviews").alias("text")), "reviews")
     order = Order(seed=settings.seed)
     binary = len(categories) == 2 or corpus.is_binary(docs).first()["is_binary"]

@@ -16,6 +16,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("corpusloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # text is heavy per byte
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -42,13 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later passes prune columns on the written table, survive lost executors, and the planner sees
-    the table's true size, so it broadcasts only what lies under its threshold.
+    the table's true size, so it broadcasts only what lies under its threshold. Each application has
+    its own folder, which may go once the application and the DataFrames it made are done.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
