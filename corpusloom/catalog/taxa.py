@@ -3,12 +3,13 @@ its positive labels, so that documents of one, several and no categories occur."
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.common import table
 from corpusloom.functions.taxons import cut_taxon
 from corpusloom.operators import corpus, taxonomy
+from corpusloom.operators.ordering import ordered_positions
+from corpusloom.session import materialize
 
 REMOVE = ("en_src0", "de_src1", "mark_good")
 MERGE = {"en_src1": "en_merged", "en_src2": "en_merged", "fr_src3": "fr_src4"}
@@ -27,9 +28,7 @@ def doc_paths(spark, sf):
 def taxon_tables(spark, sf):
     """``taxons(taxon_id, path)`` in path order, and ``doc_taxon(doc_id, taxon_id, n)``."""
     paths = doc_paths(spark, sf)
-    taxons = paths.select("path").distinct().withColumn(
-        "taxon_id", F.row_number().over(Window.orderBy("path")).cast("bigint") - 1
-    )
+    taxons = materialize(ordered_positions(paths.select("path").distinct(), ["path"], "taxon_id"), "taxons")
     doc_taxon = paths.join(taxons, "path").select("doc_id", "taxon_id", F.lit(1).alias("n"))
     return taxons.select("taxon_id", "path"), doc_taxon
 

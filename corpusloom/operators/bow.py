@@ -82,6 +82,8 @@ def fit_vocab(
 
     Takes term counts or plain token rows: totals combine before they are shuffled.
     """
+    if fit_scope is not None and not set(order_scope or ()) <= set(fit_scope):
+        raise ValueError("the order scope must lie within the fit scope")
     if fit_scope is not None:
         terms = terms.where(F.col(split).isin(list(fit_scope)))
     return number_terms(term_totals(terms, order_scope, split))

@@ -38,6 +38,17 @@ def test_vocab_order_and_scopes(docs):
     assert [(r.term, r.train_count) for r in everything] == [("fox", 4), ("cat", 3), ("dog", 3), ("gnu", 2), ("emu", 1)]
 
 
+def test_order_scope_lies_within_fit_scope(docs):
+    with pytest.raises(ValueError):
+        vocab_of(docs, ("train_sup",), ("valid",))
+
+
+def test_same_result_under_any_partitioning(docs, partitions):
+    vocab = vocab_of(docs)
+    assert [r.term for r in vocab.orderBy("word_id").collect()] == ["cat", "dog", "emu", "fox"]
+    assert features(bow.bag_of_words(docs, vocab)) == EXPECTED
+
+
 def test_vocab_is_the_same_from_counts_and_from_tokens(docs):
     counts = bow.filter_stop_words(bow.term_frequency(docs, carry=["split"]), ENGLISH_STOP_WORDS)
     assert bow.fit_vocab(counts).orderBy("word_id").collect() == vocab_of(docs, None, None).orderBy("word_id").collect()

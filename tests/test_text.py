@@ -102,5 +102,17 @@ def test_text_functions_stay_in_the_jvm(spark):
     assert "Python" not in plan(strip_message_parts(clean_text(df)).select(tokens("text")))
 
 
+def test_column_functions_work_on_streams(spark, tmp_path):
+    spark.createDataFrame([(SAMPLE,), ("",)], "text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("text string").parquet(str(tmp_path / "in"))
+    query = (
+        drop_empty(clean_text(stream)).select(tokens("text").alias("tokens"))
+        .writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True).start(str(tmp_path / "out"))
+    )
+    assert query.awaitTermination(60)
+    assert [r.tokens for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [["don", "stop", "now", "ab2"]]
+
+
 def test_stop_word_list():
     assert len(ENGLISH_STOP_WORDS) == len(set(ENGLISH_STOP_WORDS)) == 179
