@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.common import (
-    GIVEN_SPLIT, STOP_LIST, bag_ctes, documents, given_split, line_sql, table, tokens_sql,
+    GIVEN_SPLIT, STOP_LIST, bag_ctes, documents, feature_text, given_split, line_sql, table, tokens_sql,
 )
 from corpusloom.functions.labels import category_label, svmlight_line
 from corpusloom.functions.text import ENGLISH_STOP_WORDS, UNICODE_TOKEN
@@ -31,13 +31,9 @@ def _bow_long(spark, sf):
     return bow.transform_bow(bow.term_frequency(_docs(spark, sf)), _vocab(spark, sf))
 
 
-def _feature_text(column="features"):
-    return F.array_join(F.transform(column, lambda e: F.concat_ws(":", e["word_id"].cast("string"), e["tf"].cast("string"))), " ")
-
-
 def _bow_packed(spark, sf):
     docs = _docs(spark, sf)
-    return bow.pack_bow(docs.select("doc_id"), _bow_long(spark, sf)).select("doc_id", _feature_text().alias("features"))
+    return bow.pack_bow(docs.select("doc_id"), _bow_long(spark, sf)).select("doc_id", feature_text().alias("features"))
 
 
 def _lines(spark, sf, base):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import ENGLISH_STOP_WORDS
@@ -37,6 +37,12 @@ def given_split(docs: DataFrame) -> DataFrame:
     return docs.withColumn("split", F.when(F.col("category").isin(list(CHOSEN)), F.col("subset")).otherwise("unsup"))
 
 
+def feature_text(column: str = "features") -> Column:
+    """A sparse row as text: ``id:count`` pairs."""
+    pairs = F.transform(column, lambda e: F.concat_ws(":", e["word_id"].cast("string"), e["tf"].cast("string")))
+    return F.array_join(pairs, " ")
+
+
 def sql_list(values: Sequence[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog.bags import doc_word_tables
 from corpusloom.catalog.common import (
-    CHOSEN, CLEAN_MOVIE_NEG, CLEAN_MOVIE_POS, CLEAN_NEWSGROUPS, CLEAN_REVIEWS, DOCUMENTS, GIVEN_SPLIT, LANGS, SEED,
-    bag_ctes, ceil_div, documents, given_split, given_split_sql, line_sql, nested_split_sql, shuffle_hash, sql_list, table,
+    CHOSEN, CLEAN_MOVIE_NEG, CLEAN_MOVIE_POS, CLEAN_NEWSGROUPS, CLEAN_REVIEWS, DOCUMENTS, GIVEN_SPLIT, LANGS,
+    bag_ctes, ceil_div, documents, feature_text, given_split, given_split_sql, line_sql, nested_split_sql, shuffle_hash, sql_list, table,
     tokens_sql,
 )
 from corpusloom.catalog.taxa import category_ctes, taxon_tables
@@ -60,8 +60,7 @@ def news(spark, sf, train_test=None):
 
 def _dataset(spark, sf):
     rows = reviews(spark, sf, ("de", "en"))
-    features = F.array_join(F.transform("features", lambda e: F.concat_ws(":", e["word_id"].cast("string"), e["tf"].cast("string"))), " ")
-    return rows.features.select("doc_id", "split", F.col("label").cast("bigint").alias("label"), features.alias("features"))
+    return rows.features.select("doc_id", "split", F.col("label").cast("bigint").alias("label"), feature_text().alias("features"))
 
 
 def _labels(categories):

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import category_label, fold_number, svmlight_label, svmlight_line, text_line, topic_line
 from corpusloom.operators import corpus, labels

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.functions.taxons import cut_taxon
 from corpusloom.operators import taxonomy
