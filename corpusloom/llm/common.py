@@ -36,8 +36,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 
 
 def text_array(column: pa.Array) -> pa.Array:
-    """Texts with 64-bit offsets, null as empty."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Texts with 64-bit offsets, null as empty; copied, as some kernels mistake the offsets of a slice."""
+    import numpy as np
+
+    copied = column.take(pa.array(np.arange(len(column))))
+    return pc.fill_null(copied.cast(pa.large_string()), "")
 
 
 def ascii_words(texts: pa.Array) -> tuple[pa.Array, "object"]:
