@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import slices, text_array
 
-CACHED_WORDS = 400_000  # words whose tokens a worker remembers
+CACHED_WORDS = 600_000  # words whose tokens a worker remembers
 PAIR_BITS = 32
+SHORT = 48  # bytes of words that are merged side by side; longer ones one by one with a heap
 # Fixed value: the word pattern of byte-level vocabularies, letters first (no alternative starts like another).
 WORDS = r" ?\p{L}++|'(?:s|t|re|ve|m|ll|d)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 UNASSIGNED = "͸"  # of no class in any Unicode version
@@ -62,9 +63,8 @@ class Vocabulary:
         self.pieces = pa.array(pieces, pa.large_binary())
         self.ids = ids
         self._set_merges(model, symbols, size)
-        self.longest: dict[bytes, int] = {}
-        for piece in ids:
-            self.longest[piece[:2]] = max(len(piece), self.longest.get(piece[:2], 1))
+        self.byte_token = np.array([ids[bytes([b])] for b in range(256)], dtype=np.int64)
+        self._set_trie()
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(WORDS)
         self.newer = self._newer_letters(path)
@@ -135,17 +135,79 @@ class Vocabulary:
             active = active[going]
         return good
 
-    def greedy(self, word: bytes) -> list[int]:
-        """Longest matches from the left."""
-        ids, longest, found, at, end = self.ids, self.longest, [], 0, len(word)
-        while at < end:
-            length = longest.get(word[at : at + 2], 1)
-            while length > 1 and word[at : at + length] not in ids:
-                length -= 1
-            piece = word[at : at + length]
-            found.append(ids[piece])
-            at += len(piece)
-        return found
+    def _set_trie(self) -> None:
+        """Every prefix of a token is a node; edges are sorted by (node, byte). Nodes 0-255 are the bytes."""
+        nodes = {bytes([b]): b for b in range(256)}
+        keys = []
+        for piece in self.ids:
+            for end in range(2, len(piece) + 1):
+                prefix = piece[:end]
+                if prefix not in nodes:
+                    nodes[prefix] = len(nodes)
+                    keys.append(nodes[piece[: end - 1]] << 8 | piece[end - 1])
+        self.edges, order = np.unique(np.array([*keys, np.iinfo(np.int64).max], dtype=np.int64), return_index=True)
+        self.edge_to = order + 256  # nodes were numbered as their edges were made
+        self.node_token = np.full(len(nodes) + 1, -1, dtype=np.int64)
+        for piece, token in self.ids.items():
+            self.node_token[nodes[piece]] = token
+
+    def greedy(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches from the left of all words side by side: tokens and how many each word has."""
+        data = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        at = ends - [len(w) for w in words]  # the next byte
+        word = np.flatnonzero(at < ends)
+        at, ends = at[word], ends[word]
+        node = data[at].astype(np.int64)
+        at = at + 1
+        token, stop = self.node_token[node], at.copy()
+        owners, found = [], []
+        while len(word):
+            key = node << 8 | data[at]
+            edge = self.edges.searchsorted(key)
+            going = (at < ends) & (self.edges[edge] == key)
+            node = np.where(going, self.edge_to[edge], node)
+            at = at + going
+            better = going & (self.node_token[node] >= 0)
+            token, stop = np.where(better, self.node_token[node], token), np.where(better, at, stop)
+            done = ~going
+            owners.append(word[done])
+            found.append(token[done])
+            # Whoever is done starts anew behind its longest match, or leaves.
+            start = data[np.minimum(stop, len(data) - 1)].astype(np.int64)
+            staying = ~done | (stop < ends)
+            node = np.where(done, start, node)
+            at = np.where(done, stop + 1, at)
+            token, stop = np.where(done, self.node_token[start], token), np.where(done, stop + 1, stop)
+            word, node, at, ends, token, stop = (x[staying] for x in (word, node, at, ends, token, stop))
+        owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        tokens = np.concatenate(found)[order] if found else np.empty(0, np.int64)
+        return tokens, np.bincount(owner, minlength=len(words))
+
+    def merge_all(self, words: list[bytes]) -> list[np.ndarray]:
+        """Exact merging of many short words side by side: each round merges every word's leftmost best pair."""
+        token = self.byte_token[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        out: list = [None] * len(words)
+        never = np.iinfo(np.int64).max
+        while len(token):
+            keys = token << PAIR_BITS | np.append(token[1:], 0)
+            at = np.minimum(self.pair_keys.searchsorted(keys), len(self.pair_keys) - 1)
+            inside = np.append(owner[1:] == owner[:-1], False)
+            rank = np.where(inside & (self.pair_keys[at] == keys), self.pair_ranks[at], never)
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(token)))
+            ended = np.repeat(best == never, sizes)
+            for start, size in zip(starts[best == never], sizes[best == never], strict=True):
+                out[owner[start]] = token[start : start + size]
+            hit = np.flatnonzero((rank == np.repeat(best, sizes)) & ~ended)
+            hit = hit[np.append(True, owner[hit][1:] != owner[hit][:-1])] if len(hit) else hit
+            token[hit] = self.pair_made[at[hit]]
+            ended[hit + 1] = True
+            token, owner = token[~ended], owner[~ended]
+        return out
 
     def exact(self, word: bytes) -> list[int]:
         """Merge by rank, leftmost first, with a heap of candidate pairs over a linked list."""
@@ -177,17 +239,19 @@ class Vocabulary:
     def learn(self, words: list[str]) -> None:
         """Tokens of new words: greedy, all pairs checked at once, exact where a check fails."""
         raw = [w.encode() for w in words]
-        proposed = [self.greedy(w) for w in raw]
-        counts = np.array([len(p) for p in proposed])
-        flat = np.fromiter(chain.from_iterable(proposed), dtype=np.int64, count=int(counts.sum()))
+        flat, counts = self.greedy(raw)
         owner = np.repeat(np.arange(len(words)), counts)
         failed = np.zeros(len(words), dtype=bool)
         failed[owner[~self.own[flat]]] = True
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         failed[owner[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
-        for i in np.flatnonzero(failed):
-            proposed[i] = self.exact(raw[i])
-        self.known.update((w, np.array(p, dtype=np.int32).tobytes()) for w, p in zip(words, proposed, strict=True))
+        data, ends = flat.astype(np.int32).tobytes(), 4 * np.cumsum(counts)
+        self.known.update((w, data[e - 4 * n : e]) for w, e, n in zip(words, ends.tolist(), counts.tolist(), strict=True))
+        again = np.flatnonzero(failed)
+        short = [i for i in again if len(raw[i]) <= SHORT]
+        merged = zip(short, self.merge_all([raw[i] for i in short]), strict=True)
+        one_by_one = ((i, np.array(self.exact(raw[i]))) for i in again if len(raw[i]) > SHORT)
+        self.known.update((words[i], tokens.astype(np.int32).tobytes()) for i, tokens in chain(merged, one_by_one))
 
     def cut(self, text: str) -> list[str]:
         """The words of a text; added tokens stand alone and end the words beside them."""
@@ -197,7 +261,12 @@ class Vocabulary:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if self.newer is None or text.isascii() or not self.newer.search(text):
+        try:
+            text.encode("latin-1")  # the quickest test: no newer letters there
+            plain = True
+        except UnicodeEncodeError:
+            plain = self.newer is None or not self.newer.search(text)
+        if plain:
             return self.words.findall(text)
         stand_in = self.newer.sub(UNASSIGNED, text)
         return [text[m.start() : m.end()] for m in self.words.finditer(stand_in)]

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import simhash
+from corpusloom.llm import bpe, mixing, simhash
 from corpusloom.llm.common import table
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def byte_bpe_path() -> str:
+    """The vocabulary file of the test machine; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe_path())
+
+
 QUERIES = {
+    "op6_mixing": (op6_mixing, mixing.SQL),
     "op7_simhash": (op7_simhash, None),
+    "op8_bpe": (op8_bpe, None),
 }
