@@ -163,7 +163,7 @@ WITH d AS (
     sum(weight) OVER () - sum(weight) OVER (ORDER BY 3.0 * source_size / weight, source ROWS UNBOUNDED PRECEDING) + weight AS open
   FROM s
 ), l AS (
-  SELECT min((total - capped)::DOUBLE / open::DOUBLE) FILTER (WHERE ratio >= (total - capped)::DOUBLE / open::DOUBLE) AS level FROM r
+  SELECT max((total - capped)::DOUBLE / open::DOUBLE) FILTER (WHERE ratio >= (total - capped)::DOUBLE / open::DOUBLE) AS level FROM r
 ), p AS (
   SELECT source, source_size, least((3 * source_size)::DOUBLE, level * weight) AS target,
     CASE WHEN source_size > 0 THEN floor(least((3 * source_size)::DOUBLE, level * weight) / source_size)::BIGINT ELSE 0 END AS epochs
