@@ -84,12 +84,12 @@ def _balls(fp: Column) -> Column:
         (F.shiftleft(F.shiftrightunsigned(fp, MID), LOW).bitwiseOR(low), 64 - (MID - LOW)),
         (fp.bitwiseAND(F.lit((1 << MID) - 1)), MID),
     )
-    tables = []
-    for tag, (bits, width) in enumerate(remaining):
-        flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-        key = bits.bitwiseOR(F.lit(tag << 60).cast("long"))
-        tables.append(F.transform(flips, lambda flip, key=key: key.bitwiseXOR(flip)))
-    return F.concat(*tables)
+    return F.concat(*[_ball(bits.bitwiseOR(F.lit(tag << 60)), width) for tag, (bits, width) in enumerate(remaining)])
+
+
+def _ball(key: Column, width: int) -> Column:
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
+    return F.transform(flips, lambda flip: key.bitwiseXOR(flip))
 
 
 def _small(members: np.ndarray, links: list) -> None:
