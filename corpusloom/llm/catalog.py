@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, mixing, simhash
+from corpusloom.llm import bpe, crf, mixing, simhash, winnow
 from corpusloom.llm.common import table
 
 
+def op5_quality(spark, sf_dir):
+    return crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -14,6 +18,10 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_winnowing(spark, sf_dir):
+    return winnow.edit_report(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe_path() -> str:
     """The vocabulary file of the test machine; the operators take any path."""
     import public_tokenizers
@@ -26,7 +34,9 @@ def op8_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_quality": (op5_quality, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
     "op7_simhash": (op7_simhash, None),
     "op8_bpe": (op8_bpe, None),
+    "op9_winnowing": (op9_winnowing, None),
 }
