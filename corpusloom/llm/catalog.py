@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, crf, mixing, simhash, winnow
+from corpusloom.llm import bpe, crf, mixing, ppm, simhash, winnow
 from corpusloom.llm.common import table
 
 
+def op2_ppm(spark, sf_dir):
+    return ppm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark, sf_dir):
     return crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +38,7 @@ def op8_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_ppm": (op2_ppm, None),
     "op5_quality": (op5_quality, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
     "op7_simhash": (op7_simhash, None),
