@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, crf, mixing, ppm, simhash, winnow
+from corpusloom.llm import bpe, chat, crf, mixing, ppm, pstable, simhash, warc, winnow
 from corpusloom.llm.common import table
 
 
+def op1_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_ppm(spark, sf_dir):
     return ppm.held_out_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark, sf_dir):
+    return chat.digests(table(spark, sf_dir, "conversations"))
+
+
 def op5_quality(spark, sf_dir):
     return crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +34,10 @@ def op9_winnowing(spark, sf_dir):
     return winnow.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op10_pstable(spark, sf_dir):
+    return pstable.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def byte_bpe_path() -> str:
     """The vocabulary file of the test machine; the operators take any path."""
     import public_tokenizers
@@ -38,10 +50,13 @@ def op8_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc": (op1_warc, warc.SQL),
     "op2_ppm": (op2_ppm, None),
+    "op3_chat": (op3_chat, chat.SQL),
     "op5_quality": (op5_quality, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
     "op7_simhash": (op7_simhash, None),
     "op8_bpe": (op8_bpe, None),
     "op9_winnowing": (op9_winnowing, None),
+    "op10_pstable": (op10_pstable, pstable.SQL),
 }
