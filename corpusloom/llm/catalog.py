@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, crf, mixing, ppm, pstable, simhash, warc, winnow
+from corpusloom.llm import bpe, chat, crf, licenses, mixing, ppm, pstable, simhash, warc, winnow
 from corpusloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_chat(spark, sf_dir):
     return chat.digests(table(spark, sf_dir, "conversations"))
 
 
+def op4_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark, sf_dir):
     return crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_warc": (op1_warc, warc.SQL),
     "op2_ppm": (op2_ppm, None),
     "op3_chat": (op3_chat, chat.SQL),
+    "op4_licenses": (op4_licenses, None),
     "op5_quality": (op5_quality, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
     "op7_simhash": (op7_simhash, None),

@@ -1,9 +1,10 @@
 """Prediction by partial matching: a byte-context trie of the training texts gives every text its code length.
 
 Counts of (context, next byte) for contexts of up to five bytes come from all training texts. A byte is predicted
-from the longest context seen; if it never followed there, an escape (probability: kinds of followers over
-followers plus kinds) leads to the context one byte shorter, where the followers of the longer one are excluded.
-Below the empty context all bytes not yet seen are equally likely.
+from the longest context seen, each follower giving half a count to the escape. An escape leads to the context one
+byte shorter, where the followers of the longer one are excluded. Shorter contexts count in how many longer
+ones a byte followed, as if it had been counted only where it was new. Below the empty context all bytes not yet
+seen are equally likely.
 
 The trie is written as tables, cut into shards by the two latest bytes of the context. Tasks read the shards
 they need one at a time, so no task and not the driver ever holds a model that grows with the corpus.
@@ -12,7 +13,7 @@ they need one at a time, so no task and not the driver ever holds a model that g
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ascii_words, remainder, slices, text_array
@@ -108,11 +109,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([texts_seen])], names)
 
 
-def _low(key: Column, order: Column) -> Column:
-    """The latest ``order`` bytes."""
-    return key.bitwiseAND(F.expr(f"shiftleft(1L, 8 * ({order}))") - 1) if isinstance(order, str) else key.bitwiseAND(F.lit((1 << 8 * order) - 1))
-
-
 def trie(counts: DataFrame) -> DataFrame:
     """Rows ``key``, ``a``, ``b``, ``c`` of the trie from ``gram``, ``n`` (contexts of ``ORDER`` bytes and what follows).
 
@@ -120,9 +116,13 @@ def trie(counts: DataFrame) -> DataFrame:
     Context: key 0x40 + j and the bytes; a, c: log of the denominator and of the escape probability in the context
     one byte shorter, this one's followers excluded; b: log of the escape probability here.
     """
-    levels = F.array(*[F.struct(F.lit(j).alias("j"), _low(F.col("gram"), j + 1).alias("g")) for j in range(ORDER + 1)])
-    entries = counts.select(F.explode(levels).alias("e"), "n").groupBy("e.j", "e.g").agg(F.sum("n").alias("n"))
-    entries = materialize(entries, "ppm-entries")
+    level = materialize(counts.select(F.lit(ORDER).alias("j"), F.col("gram").alias("g"), "n"), "ppm-level")
+    levels = [level]
+    for order in range(ORDER - 1, -1, -1):
+        shorter = F.col("g").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+        level = materialize(level.groupBy(shorter.alias("g")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(order).alias("j"), "g", "n"), "ppm-level")
+        levels.append(level)
+    entries = reduce(DataFrame.unionByName, levels)
     shorter = F.expr("g & (shiftleft(1L, 8 * j) - 1)")
     parents = entries.select((F.col("j") + 1).alias("j"), F.col("g").alias("p"), F.col("n").alias("p_n"))
     joined = entries.withColumn("p", shorter).join(parents, ["j", "p"], "left")
@@ -135,19 +135,19 @@ def trie(counts: DataFrame) -> DataFrame:
     suffix = F.expr("if(j = 0, -1L, ctx & (shiftleft(1L, 8 * (j - 1)) - 1))")
     full = contexts.withColumn("p", suffix).join(above, ["j", "p"], "left")
     rest_d = F.coalesce(F.col("p_d") - F.col("d"), F.lit(0))
-    rest = F.coalesce(F.col("p_t") - F.col("excluded"), F.lit(0)) + rest_d
+    rest = F.coalesce(F.col("p_t") - F.col("excluded"), F.lit(0))
     log = lambda value: F.when(value > 0, F.log10(value)).otherwise(F.lit(0.0))
     context_rows = full.select(
         F.expr(f"shiftleft(cast({CONTEXT} + j as bigint), 56) | ctx").alias("key"),
         log(rest).alias("a"),
-        (F.log10("d") - F.log10(F.col("t") + F.col("d"))).alias("b"),
-        F.when(rest_d > 0, log(rest_d) - log(rest)).otherwise(0.0).alias("c"),
+        (F.log10(F.col("d") / 2) - F.log10("t")).alias("b"),
+        F.when(rest_d > 0, F.log10(rest_d / 2) - log(rest)).otherwise(0.0).alias("c"),
     )
-    own = contexts.select("j", "ctx", (F.col("t") + F.col("d")).alias("all"))
+    own = contexts.select("j", "ctx", F.col("t").alias("all"))
     entry_rows = entries.withColumn("ctx", context).join(own, ["j", "ctx"]).select(
         F.expr("shiftleft(cast(j + 1 as bigint), 56) | g").alias("key"),
-        F.log10("n").alias("a"),
-        (F.log10("n") - F.log10("all")).alias("b"),
+        F.log10(F.col("n") - 0.5).alias("a"),
+        (F.log10(F.col("n") - 0.5) - F.log10("all")).alias("b"),
         F.lit(0.0).alias("c"),
     )
     return entry_rows.unionByName(context_rows)
