@@ -39,9 +39,8 @@ def add_fingerprint(df: DataFrame, text: str, name: str, k: int = K, w: int = W)
     whole = F.transform(F.slice(x, 1, F.least(n, F.lit(1))), lambda _: F.xxhash64(x).bitwiseAND(clear))
     df = df.withColumn(grams, F.when(n >= k, gram).otherwise(whole))
     g, m = F.col(grams), F.size(grams)
-    windows = F.transform(
-        F.sequence(F.lit(0), m - w), lambda j: F.least(*[F.get(g, j + o).bitwiseOR(F.lit(w - 1 - o)) for o in range(w)])
-    )
+    in_window = lambda j: [F.get(g, j + o).bitwiseOR(F.lit(w - 1 - o)) for o in range(w)]
+    windows = F.transform(F.sequence(F.lit(0), m - w), lambda j: F.least(*in_window(j)) if w > 1 else in_window(j)[0])
     single = F.array(F.array_min(F.transform(g, lambda h, i: h.bitwiseOR((F.lit(w - 1) - i).cast("long")))))
     df = df.withColumn(least, F.when(m >= w, windows).when(m > 0, single).otherwise(F.array().cast("array<bigint>")))
     s = F.col(least)
