@@ -76,7 +76,7 @@ def shuffle_hash(key: str = "doc_id", tag: str = "shuf") -> str:
     return f"md5(concat({key}, ':{tag}:{SEED}'))"
 
 
-def tokens_sql(text: str = "text", pattern: str = "[a-z0-9_]{2,}") -> str:
+def tokens_sql(text: str = "text", pattern: str = r"[\p{L}\p{N}_]{2,}") -> str:
     return f"unnest(regexp_extract_all(lower({text}), '{pattern}'))"
 
 

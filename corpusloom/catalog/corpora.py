@@ -14,7 +14,7 @@ from corpusloom.catalog.taxa import category_ctes, taxon_tables
 from corpusloom.catalog.topics import hierarchy
 from corpusloom.plans import corpora
 
-CLASS_LIMIT = 500
+CLASS_LIMIT = 1000
 GENERAL = ("mark_good", "en_src0")
 MERGED = {"en_src1": "en_pair", "en_src2": "en_pair", "de_src3": "de_src4"}
 
@@ -30,11 +30,11 @@ def newsgroups(spark, sf):
 
 
 def movies(spark, sf):
-    """Two languages as the two classes."""
-    docs = documents(spark, sf).where(F.col("category").isin(list(CHOSEN)))
+    """Two languages make up each of the two classes."""
+    docs = documents(spark, sf)
     return corpora.movie_corpus(
         docs.select(
-            F.when(F.col("category") == "en", 0).otherwise(1).alias("label"),
+            F.when(F.col("category").isin("en", "fr"), 0).otherwise(1).alias("label"),
             "doc_id",
             F.floor(F.col("doc_id") / 100).cast("int").alias("fold"),
             "text",
@@ -43,10 +43,12 @@ def movies(spark, sf):
 
 
 def newswire(spark, sf):
-    """Each customer's nation is a document's topic line; documents and customers pair by number."""
+    """Each customer's nation is the last of a document's two topic lines; documents and customers pair by number."""
     docs = given_split(documents(spark, sf)).select("doc_id", "split", "text")
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("topic"))
-    lines = table(spark, sf, "customer").join(nations, "c_nationkey").select("topic", F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("line_no"))
+    customers = table(spark, sf, "customer").select("c_custkey", F.explode(F.array(F.lit(1), F.lit(0))).alias("line"), "c_nationkey")
+    of_line = customers.withColumn("c_nationkey", (F.col("c_nationkey") + 1 - F.col("line")) % 25)
+    lines = of_line.join(nations, "c_nationkey").select("topic", F.col("c_custkey").alias("doc_id"), F.struct("c_custkey", "line").alias("line_no"))
     return corpora.newswire_corpus(docs, lines, hierarchy(spark, sf), on_missing="drop")
 
 
@@ -92,10 +94,10 @@ _NEWSGROUPS = bag_ctes(
 
 # A class and a document id make the key: the class leads the hashed text.
 _MOVIE_ROWS = f"""
-SELECT concat(CASE category WHEN 'en' THEN 0 ELSE 1 END, ':', doc_id) AS doc_id, doc_id AS number,
-       CASE category WHEN 'en' THEN 0 ELSE 1 END AS label,
-       CASE category WHEN 'en' THEN {CLEAN_MOVIE_NEG} ELSE {CLEAN_MOVIE_POS} END AS text
-FROM ({DOCUMENTS}) WHERE category IN ({sql_list(CHOSEN)})"""
+SELECT concat(CASE WHEN category IN ('en', 'fr') THEN 0 ELSE 1 END, ':', doc_id) AS doc_id, doc_id AS number,
+       CASE WHEN category IN ('en', 'fr') THEN 0 ELSE 1 END AS label,
+       CASE WHEN category IN ('en', 'fr') THEN {CLEAN_MOVIE_NEG} ELSE {CLEAN_MOVIE_POS} END AS text
+FROM ({DOCUMENTS})"""
 _MOVIES = bag_ctes(
     nested_split_sql(_MOVIE_ROWS, f"{shuffle_hash()}, label, number", "doc_id, label, text", sup_unsup=(1, 2)),
     _ALL, _ALL, True,

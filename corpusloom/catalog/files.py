@@ -25,17 +25,20 @@ def _reviews(spark, sf):
 def _marked(spark, sf):
     path = new_path(spark, "marked")
     docs = clean_text(table(spark, sf, "documents").select("doc_id", "text"))
-    record = F.concat(F.lit(".I "), "doc_id", F.lit("\n.W\n"), F.regexp_replace("text", " ", "\n"), F.lit("\n"))
+    # Bodies hold the record mark within a line.
+    body = F.concat(F.lit("fig.I 7 and .I 8 .W "), F.regexp_replace("text", " ", "\n"))
+    record = F.concat(F.lit(".I "), "doc_id", F.lit("\n.W\n"), body, F.lit("\n"))
     docs.select(record.alias("value")).write.text(path, compression="gzip")
     return readers.read_marked_records(spark, path)
 
 
 def _topic_lines(spark, sf):
     path = new_path(spark, "topic-lines")
-    events = table(spark, sf, "events").orderBy("event_id")
-    events.coalesce(1).select(F.concat_ws(" ", "event_type", "user_id", F.lit("1")).alias("value")).write.text(path)
+    events = table(spark, sf, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    events.select(F.concat_ws(" ", "event_type", "user_id", F.lit("1")).alias("value")).write.text(path)
     lines = readers.read_topic_lines(spark, path)
-    return lines.groupBy("topic", "doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    last = F.max_by("topic", "line_no").alias("last_topic")
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), last)
 
 
 def _hierarchy(spark, sf):
@@ -55,11 +58,12 @@ QUERIES = {
     ),
     "read_marked_records": (
         _marked,
-        f"SELECT doc_id, trim({CLEAN_REVIEWS}) AS text FROM documents",
+        f"SELECT doc_id, trim(concat('fig.I 7 and .I 8 .W ', {CLEAN_REVIEWS})) AS text FROM documents",
     ),
     "read_topic_lines": (
         _topic_lines,
-        "SELECT event_type AS topic, CAST(user_id AS BIGINT) AS doc_id, count(*) AS n_lines FROM events GROUP BY ALL",
+        """SELECT CAST(user_id AS BIGINT) AS doc_id, count(*) AS n_lines, arg_max(event_type, event_id) AS last_topic
+           FROM events GROUP BY user_id""",
     ),
     "read_topic_hierarchy": (
         _hierarchy,

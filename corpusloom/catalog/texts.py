@@ -62,8 +62,9 @@ def _docid_offsets(spark, sf):
 
 
 def _binary_flag(spark, sf):
-    docs = corpus.label_categories(documents(spark, sf), CHOSEN, LANGS)
-    return corpus.is_binary(docs)
+    docs = documents(spark, sf)
+    chosen, all_of_them = (corpus.is_binary(corpus.label_categories(docs, c, LANGS)) for c in (CHOSEN, LANGS))
+    return chosen.unionByName(all_of_them)
 
 
 def _svmlight_label(spark, sf):
@@ -90,10 +91,9 @@ QUERIES = {
         _strip_sql("SELECT conv_id, turn, role, text FROM conversations", headers=False),
     ),
     "drop_empty": (
-        lambda spark, sf: drop_empty(
-            clean_text(table(spark, sf, "documents").select("doc_id", "text"), preset="movie_pos")
-        ),
-        f"SELECT * FROM ({_clean_sql(CLEAN_MOVIE_POS)}) WHERE length(text) <> 0",
+        # The first number of each text; texts without one have an empty string.
+        lambda spark, sf: drop_empty(table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", "[0-9]+", 0).alias("text"))),
+        "SELECT doc_id, regexp_extract(text, '[0-9]+') AS text FROM documents WHERE regexp_matches(text, '[0-9]+')",
     ),
     "src_category_filter": (
         _category_filter,
@@ -122,7 +122,8 @@ QUERIES = {
     ),
     "binary_flag": (
         _binary_flag,
-        f"SELECT count(DISTINCT lang) AS n_labels, count(DISTINCT lang) = 2 AS is_binary FROM documents WHERE lang IN ({sql_list(CHOSEN)})",
+        f"""SELECT count(DISTINCT lang) AS n_labels, count(DISTINCT lang) = 2 AS is_binary FROM documents WHERE lang IN ({sql_list(CHOSEN)})
+            UNION ALL SELECT count(DISTINCT lang), count(DISTINCT lang) = 2 FROM documents""",
     ),
     "svmlight_label": (
         _svmlight_label,

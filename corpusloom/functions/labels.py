@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 UNSUP_LABEL = "0"
 
 
+def check_known(categories: Sequence[str], known: Iterable[str], where: str = "the known categories") -> None:
+    """Raise if a category is not known."""
+    known = set(known)
+    if unknown := [c for c in categories if c not in known]:
+        raise ValueError(f"not in {where}: {', '.join(unknown)}")
+
+
 def category_label(category: Column | str, ordered: Sequence[str]) -> Column:
     """0-based rank of a category in a fixed order; null for a category outside it."""
     rank = F.array_position(F.array(*[F.lit(name) for name in ordered]), F.col(category) if isinstance(category, str) else category)

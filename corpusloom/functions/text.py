@@ -103,6 +103,6 @@ def strip_message_parts(
     return df.withColumn(col, strip_parts(col, headers, footers, quotes))
 
 
-def tokens(col: Column | str, pattern: str = ASCII_TOKEN) -> Column:
+def tokens(col: Column | str, pattern: str = UNICODE_TOKEN) -> Column:
     """Lower-cased tokens in text order."""
     return F.regexp_extract_all(F.lower(col), F.lit(pattern), F.lit(0))

@@ -12,31 +12,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import ASCII_TOKEN, tokens
+from corpusloom.functions.text import UNICODE_TOKEN, tokens
 from corpusloom.operators.ordering import ordered_positions
 from corpusloom.session import materialize
 
 BROADCAST_BYTES = 64 << 20  # a vocabulary of at most this size is broadcast whole
 ROW_BYTES = 48  # room a broadcast row takes beside its term
 HEAD_TERMS = 100_000  # of a larger one, terms that hold at least one in so many rows are broadcast
-HEAD_TERM_LENGTH = 256  # unless longer than this
 
 
-def tokenize(df: DataFrame, col: str = "text", pattern: str = ASCII_TOKEN, name: str = "tokens") -> DataFrame:
+def tokenize(df: DataFrame, col: str = "text", pattern: str = UNICODE_TOKEN, name: str = "tokens") -> DataFrame:
     return df.withColumn(name, tokens(col, pattern))
 
 
 def token_rows(
-    docs: DataFrame, columns: Sequence[str] = ("doc_id",), text: str = "text", pattern: str = ASCII_TOKEN
+    docs: DataFrame, columns: Sequence[str] = ("doc_id",), text: str = "text", pattern: str = UNICODE_TOKEN
 ) -> DataFrame:
     """One row per token, each counting one."""
     return docs.select(*columns, F.explode(tokens(text, pattern)).alias("term"), F.lit(1).cast("bigint").alias("tf"))
 
 
-def filter_stop_words(terms: DataFrame, words: Sequence[str] | DataFrame, column: str = "term") -> DataFrame:
+def filter_stop_words(
+    terms: DataFrame,
+    words: Sequence[str] | DataFrame,
+    column: str = "term",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    head_terms: int = HEAD_TERMS,
+) -> DataFrame:
     """Drop rows whose term is a stop word, given as a list or as a table with that column."""
     if isinstance(words, DataFrame):
-        return terms.join(words.select(column), column, "left_anti")
+        return match(terms, words.select(column).distinct(), column, "left_anti", broadcast_bytes, head_terms)
     return terms.where(~F.col(column).isin(list(words))) if words else terms
 
 
@@ -45,7 +50,7 @@ def term_frequency(
     keys: Sequence[str] = ("doc_id",),
     carry: Sequence[str] = (),
     text: str = "text",
-    pattern: str = ASCII_TOKEN,
+    pattern: str = UNICODE_TOKEN,
     outer: bool = False,
     colocate: bool = True,
 ) -> DataFrame:
@@ -89,9 +94,41 @@ def fit_vocab(
     return number_terms(term_totals(terms, order_scope, split))
 
 
-def _fits_broadcast(vocab: DataFrame, limit: int) -> bool:
-    size = vocab.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0]
-    return (size or 0) <= limit
+def _bytes(table: DataFrame, key: str) -> int:
+    size = F.octet_length(F.col(key).cast("string")) + ROW_BYTES
+    return table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def _frequent(rows: DataFrame, key: str, broadcast_bytes: int, head_terms: int) -> DataFrame:
+    """Keys that hold at least 1/head_terms of the rows, or fewer of them, so that together they fit a broadcast."""
+    least = max(rows.count() / max(head_terms, 1), 1)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") >= least) & F.lit(head_terms > 0))
+    counts = materialize(counts, "frequent")
+    while _bytes(head := counts.where(F.col("_rows") >= least), key) > broadcast_bytes:
+        least *= 2
+    return head.select(key)
+
+
+def match(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    how: str = "inner",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    head_terms: int = HEAD_TERMS,
+) -> DataFrame:
+    """Join ``rows``, of which few keys may hold most, with a ``table`` of distinct keys: inner, left or left_anti.
+
+    A table that fits is broadcast after its size is measured. Of a larger one the frequent keys are: no
+    more than ``head_terms`` keys can each hold 1/head_terms of the rows, and they match where they lie. The
+    others are shuffled by key, none of them a hot one.
+    """
+    if _bytes(table, key) <= broadcast_bytes:
+        return rows.join(F.broadcast(table), key, how)
+    rows = materialize(rows, "keyed_rows")
+    frequent = _frequent(rows, key, broadcast_bytes, head_terms)
+    near = rows.join(F.broadcast(frequent), key, "left_semi").join(F.broadcast(table.join(F.broadcast(frequent), key)), key, how)
+    return near.unionByName(rows.join(F.broadcast(frequent), key, "left_anti").join(table, key, how))
 
 
 def _match_terms(
@@ -99,26 +136,7 @@ def _match_terms(
 ) -> DataFrame:
     columns = [c for c in terms.columns if c != "term"]
     how = "left" if keep_unmatched else "inner"
-    ids = vocab.select("term", "word_id")
-    if _fits_broadcast(ids, broadcast_bytes):
-        return terms.join(F.broadcast(ids), "term", how).select(*columns, "word_id")
-    # No more than head_terms terms can each hold 1/head_terms of the rows, so the frequent ones fit a
-    # broadcast and match where they lie, whether or not the vocabulary knows them. The others are
-    # shuffled by term, none of them a hot key.
-    terms = materialize(terms, "doc_terms")
-    least = terms.count() / max(head_terms, 1)
-    frequent = materialize(
-        terms.where(F.length("term") <= HEAD_TERM_LENGTH)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where((F.col("_rows") >= least) & F.lit(head_terms > 0))
-        .select("term"),
-        "frequent_terms",
-    )
-    known = ids.join(F.broadcast(frequent), "term")
-    near = terms.join(F.broadcast(known), "term", how).select(*columns, "word_id")
-    far = terms.join(F.broadcast(frequent), "term", "left_anti").join(ids, "term")
-    return near.unionByName(far.select(*columns, "word_id"))
+    return match(terms, vocab.select("term", "word_id"), "term", how, broadcast_bytes, head_terms).select(*columns, "word_id")
 
 
 def transform_bow(
@@ -150,7 +168,7 @@ def bag_of_words(
     keys: Sequence[str] = ("doc_id",),
     carry: Sequence[str] = (),
     text: str = "text",
-    pattern: str = ASCII_TOKEN,
+    pattern: str = UNICODE_TOKEN,
     broadcast_bytes: int = BROADCAST_BYTES,
     head_terms: int = HEAD_TERMS,
 ) -> DataFrame:
@@ -160,7 +178,9 @@ def bag_of_words(
     return matched.groupBy(*keys, *carry).agg(packed().alias("features"))
 
 
-def reindex_words(doc_word: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reindex_words(
+    doc_word: DataFrame, words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, head_terms: int = HEAD_TERMS
+) -> tuple[DataFrame, DataFrame]:
     """Renumber an existing document-word table by falling corpus count.
 
     Returns the renumbered table and the vocabulary, which keeps words that no document holds.
@@ -174,5 +194,6 @@ def reindex_words(doc_word: DataFrame, words: DataFrame) -> tuple[DataFrame, Dat
         ordered_positions(counted, [F.desc("train_count"), F.asc("term"), F.asc("old_id")], "word_id"), "vocab"
     )
     mapping = vocab.select(F.col("old_id").alias("word_id"), F.col("word_id").alias("_new"))
-    moved = doc_word.join(mapping, "word_id").select("doc_id", F.col("_new").alias("word_id"), "n")
+    moved = match(doc_word, mapping, "word_id", "inner", broadcast_bytes, head_terms)
+    moved = moved.select("doc_id", F.col("_new").alias("word_id"), "n")
     return moved, vocab.drop("old_id")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.labels import category_label
+from corpusloom.functions.labels import category_label, check_known
 from corpusloom.operators.ordering import ordered_positions
 
 
@@ -19,6 +19,7 @@ def complement_categories(
     df: DataFrame, categories: Sequence[str], all_categories: Sequence[str], column: str = "category"
 ) -> DataFrame:
     """Documents of the known categories that were not chosen: the unsupervised pool."""
+    check_known(categories, all_categories)
     return select_categories(df, [c for c in all_categories if c not in categories], column)
 
 
@@ -26,6 +27,7 @@ def label_categories(
     df: DataFrame, categories: Sequence[str], all_categories: Sequence[str], column: str = "category", label: str = "label"
 ) -> DataFrame:
     """Keep the chosen categories and label each by its rank in the fixed order, not in the argument."""
+    check_known(categories, all_categories)
     chosen = [c for c in all_categories if c in categories]
     return select_categories(df, chosen, column).withColumn(label, category_label(column, chosen))
 
@@ -35,13 +37,14 @@ def assign_doc_ids(
 ) -> DataFrame:
     """Number documents by input order within each part, the parts one after another.
 
-    Run it before empty documents are dropped: they keep their numbers. Only the key is sorted;
-    the text joins back on it.
+    Run it before empty documents are dropped: they keep their numbers. The rows move once, into their order, and
+    take their text along. Null keys come first in their part, and rows that repeat a key follow each
+    other in no fixed order; a part that is not in ``parts`` is an error.
     """
-    rank = F.array_position(F.array(*[F.lit(p) for p in parts]), F.col(part))
-    narrow = df.select(*key, rank.alias("_rank"))
-    numbered = ordered_positions(narrow, ["_rank", *key], doc_id).drop("_rank")
-    return df.join(numbered, list(key))
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in parts]), F.col(part)), F.lit(0).cast("bigint"))
+    unknown = F.raise_error(F.concat(F.lit("unknown part: "), F.coalesce(F.col(part).cast("string"), F.lit("null"))))
+    ranked = df.withColumn("_rank", F.when(rank == 0, unknown.cast("bigint")).otherwise(rank))
+    return ordered_positions(ranked, ["_rank", *key], doc_id).drop("_rank")
 
 
 def is_binary(df: DataFrame, label: str = "label") -> DataFrame:

@@ -94,11 +94,13 @@ def bucket_spans(hashed: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 def with_position(
     df: DataFrame, keys: Sequence[str] = ("doc_id",), seed: int | None = None, position: str = "position"
 ) -> DataFrame:
-    """Add each row's 0-based position: in a seeded random order, or by the keys when ``seed`` is None."""
+    """Add each row's 0-based position: in a seeded random order, or by the keys when ``seed`` is None.
+
+    Every row gets a position of its own: null keys come first in their order, and rows that repeat a key follow each other.
+    """
     order = Order(tuple(keys), seed)
     if seed is None:
-        places = ordered_positions(df.select(*order.keys), [F.col(k) for k in order.keys], position)
-        return df.join(places, list(order.keys))
+        return ordered_positions(df, [F.col(k) for k in order.keys], position)
     spans = bucket_spans(hash_buckets(df, order)).select("_bucket", "_start")
     in_bucket = Window.partitionBy("_bucket").orderBy("_hash", *order.keys)
     return (

@@ -24,9 +24,11 @@ def sample_per_category(
     ``strict`` makes a smaller category an error. Hash-bucket counts tell in which bucket a category
     reaches the limit; ranking that one bucket gives the last key the sample takes, and the documents
     are then filtered by it where they lie. A category that holds most of the corpus never gathers
-    in one task.
+    in one task. A null category is a category of its own.
     """
     order = Order(tuple(keys), seed, "samp")
+    same = F.col(category).eqNullSafe(F.col("_of"))
+    of = lambda frame: frame.withColumnsRenamed({category: "_of", "_bucket": "_in"})
     hashed = hash_buckets(df, order, [category])
     last = (F.col("_start") < limit) & (F.col("_start") + F.col("_n") >= limit)
     reached = materialize(
@@ -40,14 +42,14 @@ def sample_per_category(
         "sample_buckets",
     )
     last_keys = (
-        hashed.join(reached.where("_bucket IS NOT NULL"), [category, "_bucket"])
+        hashed.join(of(reached.where("_bucket IS NOT NULL")), same & (F.col("_bucket") == F.col("_in"))).drop("_of", "_in", "_total")
         .withColumn("_row", F.row_number().over(Window.partitionBy(category).orderBy("_hash", *keys)))
         .where("_row = _need")
         .select(category, F.struct("_hash", *keys).alias("_cut"))
     )
-    cuts = materialize(reached.select(category, "_total").join(last_keys, category, "left"), "sample_cuts")
+    cuts = materialize(reached.select(category, "_total").join(of(last_keys), same, "left").drop("_of"), "sample_cuts")
     taken = F.col("_cut").isNull() | (order.row_key() <= F.col("_cut"))
     if strict:
-        short = F.raise_error(F.concat(F.lit("too few rows in category "), F.col(category).cast("string")))
+        short = F.raise_error(F.concat(F.lit("too few rows in category "), F.coalesce(F.col(category).cast("string"), F.lit("null"))))
         taken = F.when(F.col("_total") < limit, short.cast("boolean")).otherwise(taken)
-    return df.join(cuts, category).where(taken).select(df.columns)
+    return df.join(of(cuts), same).where(taken).select(df.columns)

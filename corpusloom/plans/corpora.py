@@ -8,8 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.labels import svmlight_line, text_line
-from corpusloom.functions.text import ASCII_TOKEN, ENGLISH_STOP_WORDS, clean, strip_parts
+from corpusloom.functions.labels import check_known, svmlight_line, text_line
+from corpusloom.functions.text import ASCII_TOKEN, ENGLISH_STOP_WORDS, UNICODE_TOKEN, clean, strip_parts
 from corpusloom.operators import bow, corpus, labels, sampling, splits, taxonomy
 from corpusloom.operators.ordering import Order
 from corpusloom.session import materialize
@@ -79,7 +79,7 @@ class Settings:
 NEWSGROUPS = Settings()
 REVIEWS = Settings(sup_unsup=(1, 10), seed=1234, order_scope=TRAIN_AND_UNSUP)
 MOVIES = Settings(sup_unsup=(1, 2), seed=1234, fit_scope=ALL, order_scope=ALL)
-NEWSWIRE = Settings(stop_words=())
+NEWSWIRE = Settings(stop_words=(), token_pattern=UNICODE_TOKEN)  # its text is not cleaned
 NEWS = Settings(index_base=0, seed=1234)
 
 
@@ -154,6 +154,7 @@ def newsgroup_corpus(
 ) -> Corpus:
     """Messages ``(key, category, subset, text)`` with given train and test subsets; the categories
     that were not chosen are the unsupervised part. Documents are numbered train, test, unsupervised."""
+    check_known(categories, all_categories)
     chosen = F.col("category").isin(list(categories))
     part = F.when(chosen, F.col("subset")).otherwise("unsup")
     known = corpus.select_categories(messages, all_categories)

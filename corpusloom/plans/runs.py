@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.corpus import assign_doc_ids
+from corpusloom.functions.labels import check_known
+from corpusloom.operators.corpus import assign_doc_ids, select_categories
 from corpusloom.plans import corpora
+from corpusloom.session import materialize
 from corpusloom.sinks import writers
 from corpusloom.sources import readers
 
@@ -42,18 +44,25 @@ def review_runs(
     choices: Mapping[str, Sequence[str]] = corpora.REVIEW_CHOICES,
     class_limit: int = 10_000,
 ) -> None:
-    """One corpus per category choice from JSON-lines files; only the chosen categories are read."""
+    """One corpus per category choice from JSON-lines files; only the chosen categories are read, each file once.
+
+    All choices are checked against the manifest and the known categories before anything is read or written.
+    """
+    for categories in choices.values():
+        check_known(categories, corpora.REVIEW_CATEGORIES)
+        check_known(categories, manifest, "the manifest")
     known = [c for c in corpora.REVIEW_CATEGORIES if c in manifest]
+    chosen = [c for c in known if any(c in categories for categories in choices.values())]
+    everything = materialize(readers.read_review_categories(spark, {c: manifest[c] for c in chosen}, chosen), "reviews")
     for name, categories in choices.items():
-        reviews = readers.read_review_categories(spark, {c: manifest[c] for c in known}, categories)
-        numbered = assign_doc_ids(readers.spread(reviews), "category", known, ["line_no"])
+        numbered = assign_doc_ids(select_categories(everything, categories), "category", known, ["line_no"])
         made = corpora.review_corpus(numbered, categories, known, class_limit)
         made.write(f"{out}/{name}")
         made.write_text(f"{out}/{name}")
 
 
 def movie_run(spark: SparkSession, root: str, out: str) -> None:
-    made = corpora.movie_corpus(readers.read_movie_reviews(spark, root))
+    made = corpora.movie_corpus(materialize(readers.read_movie_reviews(spark, root), "movies"))
     made.write(out)
     made.write_text(out)
     writers.write_ids_folds(made.docs, f"{out}/{IDS_FILE}", f"{out}/{FOLDS_FILE}", made.order.columns())
@@ -67,7 +76,7 @@ def newswire_run(
         readers.spread(readers.read_marked_records(spark, path)).withColumn("split", F.lit(split))
         for split, path in files.items()
     ]
-    docs = reduce(DataFrame.unionByName, parts)
+    docs = materialize(reduce(DataFrame.unionByName, parts), "newswire")
     made, topics = corpora.newswire_corpus(
         docs, readers.read_topic_lines(spark, topic_lines), readers.read_topic_hierarchy(spark, hierarchy)
     )

@@ -12,11 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.labels import fold_number
+from corpusloom.functions.labels import check_known, fold_number
 
 # How record-marked files start a record and its body.
-RECORD_START = ".I "
-RECORD = r"(?s)\A\s*(\d+)\s+\.W(?:\s(.*))?\z"
+RECORD_START = "\n.I "
+RECORD = r"(?s)\A(?:\.I )?[ \t]*(\d+)\s+\.W(?:\s(.*))?\z"
 
 # Required fields of a review record.
 REVIEW_FIELDS = {"reviewText": "text", "reviewerID": "reviewer_id"}
@@ -67,9 +67,10 @@ def read_review_categories(
     spark: SparkSession, manifest: Mapping[str, str], categories: Sequence[str], partitions: int | None = None
 ) -> DataFrame:
     """Reviews of the chosen categories, in the manifest's order; other files are not opened."""
+    check_known(categories, manifest, "the manifest")
     chosen = [(name, path) for name, path in manifest.items() if name in categories]
     if not chosen:
-        raise ValueError("no chosen category is in the manifest")
+        raise ValueError("no category is chosen")
     parts = [read_reviews(spark, path, partitions).withColumn("category", F.lit(name)) for name, path in chosen]
     return reduce(DataFrame.unionByName, parts)
 
@@ -86,15 +87,26 @@ def read_movie_reviews(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_marked_records(spark: SparkSession, path: str | Sequence[str], partitions: int | None = None) -> DataFrame:
-    """``(doc_id, text)`` of ``.I <id> .W <tokens>`` records; text before a file's first record is dropped."""
+def read_marked_records(
+    spark: SparkSession, path: str | Sequence[str], partitions: int | None = None, preamble: bool = False
+) -> DataFrame:
+    """``(doc_id, text)`` of ``.I <id> .W <tokens>`` records.
+
+    A record starts at a line's start; ``.I `` within a line belongs to the body. Whatever is neither a record
+    nor blank (text before a file's first record, or a line in a body that starts with ``.I ``) is an error,
+    wherever in the file it stands: no text is dropped. ``preamble`` says that files may have text before
+    their first record; it is then left out, which takes a pass more to find each file's first piece.
+    """
     raw = spark.read.text(path if isinstance(path, str) else list(path), lineSep=RECORD_START)
-    raw = raw.select("value", F.col("_metadata.file_block_start").alias("_block"))
-    body = F.trim(F.translate(F.regexp_extract("value", RECORD, 2), "\n", " "))
-    preamble = (F.trim(F.translate("value", "\n", " ")) == "") | ((F.col("_block") == 0) & ~F.col("value").rlike(r"\A\s*\d"))
-    malformed = F.raise_error(F.concat(F.lit("malformed record: "), F.substring("value", 1, 40)))
+    raw = raw.select("value", line_position().alias("_at")).withColumn("_file", F.col("_at.file"))
+    if preamble:
+        first = raw.groupBy("_file").agg(F.min("_at").alias("_first"))
+        raw = raw.join(first, "_file").where((F.col("_at") != F.col("_first")) | F.col("value").rlike(RECORD))
+    spaces = lambda col: F.trim(F.translate(col, "\n\r\t", "   "))
+    malformed = F.raise_error(F.concat(F.lit("malformed record, or text before the first one: "), F.substring("value", 1, 40)))
     doc_id = F.when(~F.col("value").rlike(RECORD), malformed).otherwise(F.regexp_extract("value", RECORD, 1)).cast("bigint")
-    return _spread(raw.where(~preamble).select(doc_id.alias("doc_id"), body.alias("text")), partitions)
+    body = spaces(F.regexp_extract("value", RECORD, 2))
+    return _spread(raw.where(spaces(F.col("value")) != "").select(doc_id.alias("doc_id"), body.alias("text")), partitions)
 
 
 def read_topic_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -67,11 +67,43 @@ def test_movie_files(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", ["t.dat", "t.dat.gz"])
-@pytest.mark.parametrize("preamble", ["", "\n", "some header text\n"])
+@pytest.mark.parametrize("preamble", ["", "\n", "some header text\n", "2 documents .W follow\n"])
 def test_marked_records(spark, tmp_path, name, preamble):
     path = put(tmp_path / name, preamble + RECORDS)
-    got = readers.read_marked_records(spark, path).orderBy("doc_id").collect()
-    assert [tuple(r) for r in got] == [(11, "alpha beta gamma"), (12, "beta beta"), (13, "")]
+    want = [(11, "alpha beta gamma"), (12, "beta beta"), (13, "")]
+    got = readers.read_marked_records(spark, path, preamble=True).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+    if preamble.strip():
+        with pytest.raises(Exception, match="text before the first"):
+            readers.read_marked_records(spark, path).collect()
+    else:
+        assert [tuple(r) for r in readers.read_marked_records(spark, path).orderBy("doc_id").collect()] == want
+
+
+@pytest.mark.parametrize("name", ["t.dat", "t.dat.gz"])
+@pytest.mark.parametrize("block", [None, 40])
+def test_record_marks_inside_bodies(spark, tmp_path, name, block):
+    path = put(tmp_path / name, ".I 11\r\n.W\r\nalpha fig.I beta .I 5 .W\tgamma\r\n\r\n.I 12\n.W\nsee .I x\n" * 1)
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        got = sorted(map(tuple, readers.read_marked_records(spark, path).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(11, "alpha fig.I beta .I 5 .W gamma"), (12, "see .I x")]
+
+
+@pytest.mark.parametrize("place", [0, 60])
+def test_record_marks_at_line_starts_of_bodies_are_errors(spark, tmp_path, place):
+    records = [f".I {i}\n.W\nalpha beta\n" for i in range(80)]
+    records[place] = f".I {place}\n.W\nalpha\n.I figure\n"
+    path = put(tmp_path / "t.dat", "".join(records))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        with pytest.raises(Exception, match="malformed record"):
+            readers.read_marked_records(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_malformed_records_are_errors(spark, tmp_path):

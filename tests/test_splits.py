@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import splits
+from corpusloom.operators.corpus import assign_doc_ids, complement_categories, label_categories
 from corpusloom.operators.ordering import Order, bucket_spans, hash_buckets, ordered_positions, shuffle_key, with_position
 from corpusloom.operators.sampling import sample_per_category
 from tests.plans import plan, shuffles
@@ -127,3 +128,33 @@ def test_passes_that_find_positions_read_keys_only(spark, tmp_path):
     spark.range(100).selectExpr("id AS doc_id", "'a' AS category", "repeat('x', 100) AS text").write.parquet(path)
     spans = bucket_spans(hash_buckets(spark.read.parquet(path), Order(seed=1), ["category"]), ["category"])
     assert "ReadSchema: struct<doc_id:bigint,category:string>" in plan(spans)
+
+
+def test_null_categories_are_sampled_too(spark):
+    rows = spark.createDataFrame([(i, ["a", None, "b"][i % 3]) for i in range(30)], "doc_id long, category string")
+    got = sample_per_category(rows, "category", 4).groupBy("category").count().collect()
+    assert {r["category"]: r["count"] for r in got} == {"a": 4, None: 4, "b": 4}
+
+
+def test_positions_keep_null_and_repeated_keys(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (0, "d")], "doc_id long, text string")
+    got = with_position(rows).collect()
+    assert sorted(r.position for r in got) == [0, 1, 2, 3]
+    assert sorted(r.text for r in got) == ["a", "b", "c", "d"]
+    assert {r.text: r.position for r in got}["c"] == 0
+
+
+def test_numbering_keeps_rows_and_rejects_unknown_parts(spark):
+    rows = spark.createDataFrame([(1, "train"), (1, "train"), (None, "test")], "key long, part string")
+    assert sorted(r.doc_id for r in assign_doc_ids(rows, "part", ("train", "test"), ["key"]).collect()) == [0, 1, 2]
+    for part in ("other", None):
+        odd = spark.createDataFrame([(1, part)], "key long, part string")
+        with pytest.raises(Exception, match="unknown part"):
+            assign_doc_ids(odd, "part", ("train", "test"), ["key"])
+
+
+def test_unknown_categories_are_errors(spark):
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, category string")
+    for call in (label_categories, complement_categories):
+        with pytest.raises(ValueError, match="not in the known categories: z"):
+            call(rows, ["a", "z"], ["a", "b"])
