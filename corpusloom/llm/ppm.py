@@ -33,9 +33,9 @@ PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never uses: before the start, and the
 ALPHABET = 256
 SHARD_ROWS = 3_000_000  # of the trie; one context suffix of two bytes has at most 2**24 + 2**16 entries of order 4 or less per third byte
 WORD_ROWS = 2_000_000
-SLICE = 16 << 20
-CHUNK = 1 << 20
-HELD_ROWS = 2_000_000  # distinct n-grams that a task sums up before it passes them on
+SLICE = 4 << 20
+CHUNK = 1 << 18
+HELD_ROWS = 1_000_000  # distinct n-grams that a task sums up before it passes them on
 CONTEXT = 0x40  # tag of context rows
 SEED = 42
 
@@ -85,7 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in total.select(["word", "n_sum"]).to_batches(max_chunksize=200_000):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(0).cast(pa.string()), batch.column(1)], names)
 
-    for part in slices(batches, limit=SLICE // 2):
+    for part in slices(batches, limit=SLICE):
         texts = text_array(part.column("text"))
         texts_seen += len(texts)
         data, _ = symbols(texts)
@@ -216,15 +216,16 @@ class Trie:
 
 
 def _read(path: str, shard: int, columns: list[str]) -> list[np.ndarray]:
-    """Columns of one shard, sorted by the first."""
+    """Columns of one shard."""
     files, place = pyarrow.fs.FileSystem.from_uri(path)
     folder = f"{place}/shard={shard}"
     if files.get_file_info(folder).type == pyarrow.fs.FileType.NotFound:
         return [np.empty(0, np.int64), *[np.empty(0)] * (len(columns) - 1)]
     table = pq.read_table(folder, filesystem=files, columns=columns, partitioning=None)
-    arrays = [table.column(name).to_numpy() for name in columns]
-    order = np.argsort(arrays[0], kind="stable")
-    return [x[order] for x in arrays]
+    arrays = [np.array(table.column(name)) for name in columns]
+    del table
+    pa.default_memory_pool().release_unused()
+    return arrays
 
 
 @lru_cache(maxsize=1)
@@ -234,7 +235,9 @@ def _trie_shard(path: str, shard: int) -> Trie:
 
 @lru_cache(maxsize=4)
 def _word_shard(path: str, shard: int) -> list[np.ndarray]:
-    return _read(path, shard, ["key", "n"])
+    keys, n = _read(path, shard, ["key", "n"])
+    order = np.argsort(keys)
+    return [keys[order], n[order]]
 
 
 def _write_shards(rows: DataFrame, name: str) -> str:
