@@ -18,13 +18,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import slices, text_array
 
-CACHED_WORDS = 600_000  # words whose tokens a worker remembers
+SLICE = 1 << 20  # bytes of text, or number of ids, that are worked on at once
+CACHED_WORDS = 400_000  # words whose tokens a worker remembers
 PAIR_BITS = 32
 SHORT = 48  # bytes of words that are merged side by side; longer ones one by one with a heap
 # Fixed value: the word pattern of byte-level vocabularies, letters first (no alternative starts like another).
@@ -321,7 +323,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             found = vocab.encode(text_array(part.column("text")).to_pylist())
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
@@ -336,11 +338,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            ids = batch.column("ids")
-            if ids.null_count:
-                ids = pa.array([x or [] for x in ids.to_pylist()], ids.type)
-            texts = vocab.decode(ids).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), texts], ["doc_id", "ids", "text"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(ends.searchsorted((ends[start - 1] if start else 0) + SLICE, side="right")))
+                part = batch.slice(start, stop - start)
+                ids = part.column("ids").take(pa.array(np.arange(len(part))))
+                if ids.null_count:
+                    ids = pa.array([x or [] for x in ids.to_pylist()], ids.type)
+                yield pa.RecordBatch.from_arrays([*part.columns, vocab.decode(ids).cast(pa.string())], ["doc_id", "ids", "text"])
+                start = stop
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids array<int>, text string")
 
