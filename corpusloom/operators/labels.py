@@ -11,6 +11,7 @@ from corpusloom.operators.ordering import ordered_positions
 from corpusloom.session import materialize
 
 ON_MISSING = ("error", "drop", "null")
+BROADCAST_ROWS = 500_000  # so many labels with their keys are broadcast
 
 
 def missing_or(value: Column, on_missing: str, what: Column, message: str) -> Column:
@@ -37,10 +38,18 @@ def resolve_label(df: DataFrame, doc: str, topic: str, order_by: str, policy: st
 def lookup_label(
     docs: DataFrame, labels: DataFrame, keys: Sequence[str] = ("doc_id",), label: str = "label", on_missing: str = "error"
 ) -> DataFrame:
-    """Add each document's label; one without is an error, is dropped, or gets null."""
+    """Add each document's label; one without is an error, is dropped, or gets null.
+
+    Labels that fit, by their number, are broadcast and the documents stay where they lie. A key labelled twice is an
+    error rather than two rows.
+    """
     if on_missing not in ON_MISSING:
         raise ValueError(f"on_missing must be one of {ON_MISSING}")
-    joined = docs.join(labels.select(*keys, label), list(keys), "inner" if on_missing == "drop" else "left")
+    twice = F.raise_error(F.concat(F.lit("more than one label for document: "), F.concat_ws(":", *keys)))
+    one = F.when(F.count(F.lit(1)) > 1, twice.cast(labels.schema[label].dataType)).otherwise(F.first(label))
+    side = materialize(labels.groupBy(*keys).agg(one.alias(label)), "labels")
+    side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    joined = docs.join(side, list(keys), "inner" if on_missing == "drop" else "left")
     return joined.withColumn(label, missing_or(F.col(label), on_missing, F.concat_ws(":", *keys), "no label for document"))
 
 

@@ -118,22 +118,24 @@ def rollup_tree(
 ) -> DataFrame:
     """Add each topic's ancestor directly under the root as ``top_topic``.
 
-    Walks the tree down from the root, one join per level, each level written before the next, so the
-    work is the tree's size and its depth has no limit. A topic outside the tree, or the root
-    itself, is an error, is dropped, or gets null.
+    Pointers to ancestors double their reach in every round, each round a written table, so a tree of any depth
+    takes a number of rounds that is the logarithm of its depth. A topic outside the tree, or the root
+    itself, is an error, is dropped, or gets null; so is one whose parents go in a circle.
     """
-    # One parent per child and none for the root: no cycle can then be reached, and the walk ends.
+    # One parent per child and none for the root.
     edges = materialize(
         hierarchy.where(F.col("child") != root).groupBy("child").agg(F.max("parent").alias("parent")), "edges"
     )
-    level = materialize(
-        edges.where(F.col("parent") == root).select(F.col("child").alias(topic), F.col("child").alias("top_topic")), "level"
-    )
-    reached = level
-    while not level.isEmpty():
-        below = level.withColumnRenamed(topic, "parent")
-        level = materialize(edges.join(below, "parent").select(F.col("child").alias(topic), "top_topic"), "level")
-        reached = reached.unionByName(level)
+    top = F.col("parent") == root
+    up = edges.select(F.col("child").alias("node"), F.when(top, F.col("child")).otherwise(F.col("parent")).alias("up"), top.alias("done"))
+    # Circles never get done: no path is longer than there are nodes.
+    for _ in range(max(edges.count() - 1, 0).bit_length()):
+        if up.where(~F.col("done")).isEmpty():
+            break
+        hop = up.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("done").alias("then_done"))
+        moved = up.where(~F.col("done")).join(hop, "up").select("node", F.col("further").alias("up"), F.col("then_done").alias("done"))
+        up = materialize(up.where("done").unionByName(moved), "ancestors")
+    reached = up.where("done").select(F.col("node").alias(topic), F.col("up").alias("top_topic"))
     joined = topics.join(reached, topic, "inner" if on_missing == "drop" else "left")
     return joined.withColumn(
         "top_topic", missing_or(F.col("top_topic"), on_missing, F.col(topic), "no topic under the root above")

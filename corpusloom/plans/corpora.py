@@ -224,8 +224,10 @@ def newswire_corpus(
     supervised = labels.lookup_label(docs.where(F.col("split") != "unsup"), doc_labels, on_missing=on_missing)
     pool = docs.where(F.col("split") == "unsup").withColumn("label", F.lit(None).cast("bigint"))
     order = Order(seed=settings.seed)
-    cut = splits.split_given(supervised.unionByName(pool), settings.sup_valid, order=order)
-    return build(cut, settings, order, False), topics
+    # Written once, so that cutting, fitting and transforming read neither the sources nor the labels again.
+    labelled = materialize(supervised.unionByName(pool).select("doc_id", "split", "label", "text"), "newswire")
+    cut = splits.split_given(labelled, settings.sup_valid, order=order)
+    return build(cut, settings, order, False, written=True), topics
 
 
 # Output names, for labelled documents kept together and for those split into train and test.

@@ -2,6 +2,7 @@ import pytest
 
 from corpusloom.functions.taxons import cut_taxon
 from corpusloom.operators import taxonomy
+from corpusloom.session import materialize
 
 
 @pytest.mark.parametrize(
@@ -108,8 +109,11 @@ def test_rollup_tree_ends_on_cycles(spark):
     assert got == {"A": "A", "B": "A"}
 
 
-def test_rollup_of_a_deep_chain(spark):
+def test_rollup_of_a_deep_chain(spark, monkeypatch):
     chain = [("n0", "Root")] + [(f"n{i}", f"n{i - 1}") for i in range(1, 12)]
+    written = []
+    monkeypatch.setattr(taxonomy, "materialize", lambda df, name: written.append(name) or materialize(df, name))
     topics = spark.createDataFrame([("n11",)], "topic string")
     tree = spark.createDataFrame(chain, "child string, parent string")
     assert taxonomy.rollup_tree(topics, tree).first().top_topic == "n0"
+    assert written == ["edges"] + ["ancestors"] * 4
