@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import slices, text_array
 
 SLICE = 1 << 20  # bytes of text, or number of ids, that are worked on at once
-CACHED_WORDS = 400_000  # words whose tokens a worker remembers
+CACHED_WORDS = 250_000  # words whose tokens a worker remembers
 PAIR_BITS = 32
 SHORT = 48  # bytes of words that are merged side by side; longer ones one by one with a heap
 # Fixed value: the word pattern of byte-level vocabularies, letters first (no alternative starts like another).

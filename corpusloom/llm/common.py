@@ -33,6 +33,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             stop = max(start + 1, int(ends.searchsorted(before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker may live on for tasks of another kind
 
 
 def text_array(column: pa.Array) -> pa.Array:
