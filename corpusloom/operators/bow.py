@@ -41,7 +41,8 @@ def filter_stop_words(
 ) -> DataFrame:
     """Drop rows whose term is a stop word, given as a list or as a table with that column."""
     if isinstance(words, DataFrame):
-        return match(terms, words.select(column).distinct(), column, "left_anti", broadcast_bytes, head_terms)
+        kept = match(terms, words.select(column).distinct(), column, "left_anti", broadcast_bytes, head_terms)
+        return kept.select(terms.columns)
     return terms.where(~F.col(column).isin(list(words))) if words else terms
 
 

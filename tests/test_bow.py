@@ -132,3 +132,27 @@ def test_compound_key(spark):
     vocab = bow.fit_vocab(bow.token_rows(docs, ["class"]))
     rows = bow.bag_of_words(docs, vocab, ("class", "doc_id")).collect()
     assert {(r["class"], r.doc_id): [tuple(e) for e in r.features] for r in rows} == {(0, 7): [(0, 1), (1, 1)], (1, 7): [(0, 2)]}
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 200, 0])
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_match_is_a_join(spark, broadcast_bytes, how):
+    """Hot keys, keys longer than any word, null keys and unknown keys, whatever is broadcast."""
+    keys = ["hot"] * 300 + ["x" * 400] * 200 + [f"k{i}" for i in range(80)] + [None] * 5
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, key string")
+    table = spark.createDataFrame([("hot", 1), ("x" * 400, 2)] + [(f"k{i}", i) for i in range(0, 160, 2)], "key string, id long")
+    want = sorted(map(tuple, rows.join(table, "key", how).collect()), key=repr)
+    for head_terms in (0, 3, 100):
+        got = bow.match(rows, table, "key", how, broadcast_bytes, head_terms)
+        assert sorted(map(tuple, got.select(rows.join(table, "key", how).columns).collect()), key=repr) == want
+
+
+def test_stop_words_and_word_ids_beyond_a_broadcast(spark):
+    rows = spark.createDataFrame([(1, "the"), (1, "rain"), (2, "the")], "doc_id long, term string")
+    stop = spark.createDataFrame([("the",), ("a",), ("the",)], "term string")
+    assert [tuple(r) for r in bow.filter_stop_words(rows, stop, broadcast_bytes=0).collect()] == [(1, "rain")]
+    doc_word = spark.createDataFrame([(1, 7, 5), (2, 7, 1), (2, 8, 9)], "doc_id long, word_id long, n int")
+    words = spark.createDataFrame([(7, "b"), (8, "a"), (9, "c")], "word_id long, term string")
+    moved, vocab = bow.reindex_words(doc_word, words, broadcast_bytes=0, head_terms=1)
+    assert sorted(map(tuple, moved.collect())) == [(1, 1, 5), (2, 0, 9), (2, 1, 1)]
+    assert [r.term for r in vocab.orderBy("word_id").collect()] == ["a", "b", "c"]
