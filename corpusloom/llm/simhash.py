@@ -199,13 +199,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is its component's smallest: one document of each group.
 
-    Columns are those of ``docs``. Of rows that repeat an id one stays; rows of components without any
-    id stay, as nothing tells them apart.
+    Columns are those of ``docs``. Of rows that repeat an id one stays. Rows without an id stay: nothing tells
+    which of them a decision is about.
     """
     found = materialize(near_duplicates(docs, doc_id, text).select("doc_id", "component_id"), "simhash-groups")
-    leaving = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
+    leaving = found.where("doc_id <> component_id")
     gone = leaving.select(F.col("doc_id").alias("_gone")).distinct().hint("shuffle_hash")
-    kept = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(
         kept.where(F.col(doc_id).isNull())
