@@ -31,7 +31,7 @@ ORDER = 5
 FOLDS, HELD_OUT = 7, 2
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never uses: before the start, and the end of a text
 ALPHABET = 256
-SHARD_ROWS = 3_000_000  # of the trie; one context suffix of two bytes has at most 2**24 + 2**16 entries of order 4 or less per third byte
+SHARD_ROWS = 3_000_000  # of the trie in a shard, unless one pair of latest bytes has more: contexts ending in it, so a small part
 WORD_ROWS = 2_000_000
 SLICE = 4 << 20
 CHUNK = 1 << 18
