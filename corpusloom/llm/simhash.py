@@ -191,6 +191,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = component.withColumnRenamed("node", "fp").join(first, "component").select("fp", "component_id")
     of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # Written, so that the last join stands alone and the many copies of one text can be split among tasks.
+    of_class = materialize(of_class, "simhash-classes")
     return prints.join(of_class, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
