@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import bpe, crf, mixing, simhash
 from corpusloom.llm.catalog import byte_bpe_path
-from corpusloom.llm.common import table
+from corpusloom.llm.common import bound_batches, table
 from corpusloom.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -14,12 +14,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier rejects go."""
+    bound_batches(spark)
     model = crf.fit(docs, table(spark, sf_dir, "labels"))
     return crf.classify(docs, model, COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    bound_batches(spark)
     return simhash.keep_first(docs).select(*COLUMNS)
 
 
@@ -30,6 +32,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row that the mix holds, encoded and decoded back."""
+    bound_batches(spark)
     return bpe.round_trip(docs, byte_bpe_path())
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm import bpe, chat, crf, licenses, mixing, ppm, pstable, simhash, warc, winnow
-from corpusloom.llm.common import table
+from corpusloom.llm.common import bound_batches, table
 
 
 def op1_warc(spark, sf_dir):
@@ -11,6 +11,7 @@ def op1_warc(spark, sf_dir):
 
 
 def op2_ppm(spark, sf_dir):
+    bound_batches(spark)
     return ppm.held_out_scores(table(spark, sf_dir, "documents"))
 
 
@@ -50,6 +51,7 @@ def byte_bpe_path() -> str:
 
 
 def op8_bpe(spark, sf_dir):
+    bound_batches(spark)
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
