@@ -31,10 +31,11 @@ ORDER = 5
 FOLDS, HELD_OUT = 7, 2
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never uses: before the start, and the end of a text
 ALPHABET = 256
-SHARD_ROWS = 3_000_000  # of the trie in a shard, unless one pair of latest bytes has more: contexts ending in it, so a small part
+SHARD_ROWS = 2_000_000  # of the trie in a shard, unless one pair of latest bytes has more: contexts ending in it, so a small part
 WORD_ROWS = 2_000_000
 SLICE = 4 << 20
 CHUNK = 1 << 18
+GROUP = 16 << 20  # text scored with one shard before the next is read
 HELD_ROWS = 1_000_000  # distinct n-grams that a task sums up before it passes them on
 CONTEXT = 0x40  # tag of context rows
 SEED = 42
@@ -221,16 +222,21 @@ def _read(path: str, shard: int, columns: list[str]) -> list[np.ndarray]:
     folder = f"{place}/shard={shard}"
     if files.get_file_info(folder).type == pyarrow.fs.FileType.NotFound:
         return [np.empty(0, np.int64), *[np.empty(0)] * (len(columns) - 1)]
-    table = pq.read_table(folder, filesystem=files, columns=columns, partitioning=None)
-    arrays = [np.array(table.column(name)) for name in columns]
-    del table
-    pa.default_memory_pool().release_unused()
+    arrays = []
+    for name in columns:  # one by one, so that no more than one is held twice
+        arrays.append(np.array(pq.read_table(folder, filesystem=files, columns=[name], partitioning=None, use_threads=False).column(0)))
+        pa.default_memory_pool().release_unused()
     return arrays
 
 
-@lru_cache(maxsize=1)
+_held: dict[tuple[str, int], Trie] = {}  # the one shard that a worker holds
+
+
 def _trie_shard(path: str, shard: int) -> Trie:
-    return Trie(*_read(path, shard, ["key", "a", "b", "c"]))
+    if (path, shard) not in _held:
+        _held.clear()
+        _held[path, shard] = Trie(*_read(path, shard, ["key", "a", "b", "c"]))
+    return _held[path, shard]
 
 
 @lru_cache(maxsize=4)
@@ -283,22 +289,20 @@ class Model:
         self.word_shards = max(1, -(-self.n_words // WORD_ROWS))
         self.word_path = _write_shards(words.withColumn("shard", F.pmod(F.col("key"), F.lit(self.word_shards)).cast("int")), "ppm-word-shards")
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """Log10 probability of every text, its end included."""
-        data, starts = symbols(texts)
-        total = np.zeros(len(texts))
-        for begin in range(ORDER, len(data), CHUNK):
-            places = _inner(data, begin, min(len(data), begin + CHUNK))
-            keys = grams(data, begin, min(len(data), begin + CHUNK))[places - begin]
-            found = np.zeros(len(keys))
-            shard = self.shard_of[(keys >> 8) & 0xFFFF]
-            for one in range(self.n_shards):
-                at = np.flatnonzero(shard == one)
-                if len(at):
-                    found[at] = _trie_shard(self.trie_path, one).log_probability(keys[at], self.unseen)
-            owner = np.searchsorted(starts, places, side="right") - 1
-            total += np.bincount(owner, weights=found, minlength=len(texts))
-        return total
+    def scores(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Log10 probability of every text, its end included, of several slices: one shard after the other sees them all."""
+        totals = [np.zeros(len(starts)) for _, starts in parts]
+        for one in range(self.n_shards):
+            trie = _trie_shard(self.trie_path, one)
+            for (data, starts), total in zip(parts, totals, strict=True):
+                for begin in range(ORDER, len(data), CHUNK):
+                    end = min(len(data), begin + CHUNK)
+                    places = _inner(data, begin, end)
+                    keys = grams(data, begin, end)[places - begin]
+                    own = np.flatnonzero(self.shard_of[(keys >> 8) & 0xFFFF] == one)
+                    owner = np.searchsorted(starts, places[own], side="right") - 1
+                    total += np.bincount(owner, weights=trie.log_probability(keys[own], self.unseen), minlength=len(starts))
+        return totals
 
     def base(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, known tokens and log10 probability under smoothed token counts, of every text."""
@@ -329,12 +333,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        group: list[tuple] = []
+
+        def out():
+            for (columns, _), total in zip(group, model.scores([data for _, data in group]), strict=True):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(total)], names)
+            group.clear()
+
         for part in slices(batches, limit=SLICE):
             texts = text_array(part.column("text"))
             n_tokens, known, base = model.base(texts)
-            columns = [n_tokens.astype(np.int64), known, np.full(len(texts), model.tokens), base, model.scores(texts)]
-            names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names)
+            ids = part.column("doc_id").take(pa.array(np.arange(len(part))))  # a copy: the batch need not be kept
+            group.append(((ids, n_tokens.astype(np.int64), known, np.full(len(texts), model.tokens), base), symbols(texts)))
+            if sum(len(data) for _, (data, _) in group) >= GROUP:
+                yield from out()
+        yield from out()
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
