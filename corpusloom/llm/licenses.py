@@ -1,14 +1,19 @@
-"""License scans: winnowed fingerprints pick candidates from an inverted index, banded alignment reports coverage and spans.
+"""License scans: anchor words pick candidates from an inverted index, local alignment reports coverage and spans.
 
-Words are compared lower-cased and without punctuation at their ends. Every run of ``K + W - 1`` words that a text
-shares with a template gives both the same selected fingerprint, so such a run is always found. Templates
-are a parameter of bounded size; their index travels with the tasks, and documents are never shuffled.
+Words are compared lower-cased and without punctuation at their ends. A match may miss so many words of its template
+and no more: of any choice of one word more than that it holds at least one. The anchors of a template are such a
+choice, and the alignment covers every stretch that is dense enough in its words, so no match of the coverage is
+passed over, whatever is left out, put in or replaced. Templates are a parameter of bounded size; their index travels
+with the tasks, and documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator, Mapping
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +24,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ascii_words, slices, text_array
 
-K, W = 3, 2  # words in a k-gram, k-grams in a window
-BAND = 8  # words that an alignment may drift to either side of its seeds
+LEAST_WORDS = 3  # of a template
 MIN_COVERAGE = 0.8
+REACH = 3  # a text's stretch is shorter than so many times its template: a positive score has fewer than two edits a match
 MOST_WORDS = 1_000_000  # of all templates together
 SEED = 42
 EDGES = ".,;:!?()[]{}<>\"'*#$%&|_-+=~^`"
@@ -61,75 +66,43 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.array(hashes, dtype=np.uint64)[coded.indices.to_numpy()] if len(words) else np.empty(0, np.uint64), starts
 
 
-def kgrams(words: np.ndarray, starts: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the k words from each position on, whether they lie within one text, and each position's text."""
-    n = max(0, len(words) - k + 1)
-    grams = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        grams = (grams << np.uint64(21) | grams >> np.uint64(43)) ^ words[j : j + n]
-    grams = (grams ^ grams >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    return grams, owner[:n] == owner[k - 1 : k - 1 + n], owner[:n]
-
-
-def select(grams: np.ndarray, whole: np.ndarray, owner: np.ndarray, w: int = W) -> np.ndarray:
-    """Positions that winnowing selects: of every window of w k-grams in one text the smallest hash, the rightmost of equals.
-
-    Texts with fewer than w k-grams have one window.
-    """
-    n = len(grams)
-    best, at, full = grams.copy(), np.arange(n), whole.copy()
-    for j in range(1, w):
-        inside, later = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.uint64)
-        inside[: n - j] = whole[j:] & (owner[: n - j] == owner[j:])
-        later[: n - j] = grams[j:]
-        better = inside & (later <= best)
-        best, at = np.where(better, later, best), np.where(better, np.arange(n) + j, at)
-        full &= inside
-    first = np.concatenate((np.ones(min(n, 1), dtype=bool), owner[1:] != owner[:-1]))
-    return np.unique(at[whole & (full | first)])
-
-
 class Index:
-    """Fingerprints of all templates, sorted by hash, with template and position."""
+    """Anchor words of all templates, sorted by hash, with their template."""
 
     def __init__(self, templates: Mapping[str, str]) -> None:
         self.names = list(templates)
-        words, starts = word_hashes(pa.array(templates.values(), pa.large_string()))
+        texts = pa.array(templates.values(), pa.large_string())
+        words, starts = word_hashes(texts)
         if len(words) > MOST_WORDS:
             raise ValueError(f"templates hold {len(words)} words; the index is meant for {MOST_WORDS}")
-        short = [name for name, n in zip(self.names, np.diff(starts), strict=True) if n < K]
+        short = [name for name, n in zip(self.names, np.diff(starts), strict=True) if n < LEAST_WORDS]
         if short:
-            raise ValueError(f"templates of fewer than {K} words: {short}")
+            raise ValueError(f"templates of fewer than {LEAST_WORDS} words: {short}")
         self.words = [words[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        grams, whole, owner = kgrams(words, starts)
-        at = select(grams, whole, owner)
-        entries = grams[at], owner[at], at - starts[owner[at]]
-        # Whoever is too short for a full window is looked for at every k-gram.
-        short = (np.diff(starts) < K + W - 1)[entries[1]]
-        self.selected, self.every = (_sorted(*[x[part] for x in entries]) for part in (~short, short))
-
-    def seeds(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Rows (text, template, position in the text, position in the template) of all equal fingerprints."""
-        grams, whole, owner = kgrams(words, starts)
-        found = []
-        for (hashes, template, position), at in ((self.selected, select(grams, whole, owner)), (self.every, np.flatnonzero(whole))):
-            low, high = (hashes.searchsorted(grams[at], side=side) for side in ("left", "right"))
-            hit = np.flatnonzero(high > low)
-            counts = (high - low)[hit]
-            entry = np.repeat(low[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            place = np.repeat(at[hit], counts)
-            text = owner[place] if len(place) else place
-            found.append(np.column_stack((text, template[entry], place - starts[text], position[entry])))
-        return np.concatenate(found)
-
-
-def _sorted(hashes: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], *[x[order] for x in others]
-
-
-def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+        self.needed = [math.ceil(MIN_COVERAGE * len(w)) for w in self.words]
+        # Any choice of places is right; words that few templates have, and long ones, give few candidates.
+        _, kind, uses = np.unique(words, return_inverse=True, return_counts=True)
+        length = pc.utf8_length(ascii_words(texts)[0]).to_numpy()
+        order = np.lexsort((-length, uses[kind]))
+        owner = np.repeat(np.arange(len(self.words)), np.diff(starts))[order]
+        by_owner = order[np.argsort(owner, kind="stable")]
+        anchors = [by_owner[a : b - n + 1] for a, b, n in zip(starts[:-1], starts[1:], self.needed, strict=True)]
+        pairs = [np.unique(words[at]) for at in anchors]
+        hashes = np.concatenate(pairs) if pairs else np.empty(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.template = hashes[order], np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])[order]
+
+    def candidates(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distinct rows (text, template) of all texts that hold an anchor of the template."""
+        low, high = (self.hashes.searchsorted(words, side=side) for side in ("left", "right"))
+        hit = np.flatnonzero(high > low)
+        counts = (high - low)[hit]
+        entry = np.repeat(low[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        text = np.repeat(starts.searchsorted(hit, side="right") - 1, counts)
+        return np.unique(np.column_stack((text, self.template[entry])), axis=0)
+
+
+def align(text: Sequence[int], template: Sequence[int], low: int, high: int) -> tuple[int, int, int]:
     """Best local alignment with diagonals low..high (text minus template position): matched words and the span in the text.
 
     A match gives 2, a mismatch or gap takes 1.
@@ -151,7 +124,7 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
                 cell = (score - 1, matches, start)
             up, left = before[d + 1], now[d - 1] if d else (0, 0, 0)
             for score, matches, start in (up, left):
-                if score - 1 > cell[0]:
+                if (score - 1, matches) > cell[:2]:
                     cell = (score - 1, matches, start)
             now[d] = cell if cell[0] > 0 else (0, 0, 0)
             if (now[d][0], now[d][1]) > best[:2]:
@@ -160,27 +133,54 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
     return best[1], best[2], best[3]
 
 
-def matches(index: Index, words: np.ndarray, seeds: np.ndarray) -> list[tuple[int, int, int, int]]:
+def stretches(words: np.ndarray, template: np.ndarray, needed: int) -> list[tuple[int, int]]:
+    """Parts of a text that hold every match: ``needed`` words of the template within its reach, with what overlaps.
+
+    Longer parts than twice the reach are cut into such that overlap by it.
+    """
+    at = np.flatnonzero(np.isin(words, template))
+    reach = REACH * len(template)
+    first, last = at[: max(0, len(at) - needed + 1)], at[needed - 1 :]
+    near = last - first < reach
+    first, last = first[near], last[near]
+    cuts = np.flatnonzero(first[1:] > last[:-1]) + 1
+    found = []
+    for part in np.split(np.arange(len(first)), cuts) if len(first) else []:
+        start, end = int(first[part[0]]), int(last[part[-1]]) + 1
+        found += [(a, min(end, a + 2 * reach)) for a in range(start, max(start + 1, end - reach), reach)]
+    return found
+
+
+def occurrences(text: Sequence[int], template: Sequence[int], needed: int) -> Iterator[tuple[int, int, int]]:
+    """Matches (matched words, start, end) of the template: the best alignment, then those to its left and right."""
+    parts = [(0, len(text))]
+    of_template = Counter(template)
+    while parts:
+        low, high = parts.pop()
+        part = text[low:high]
+        if (of_template & Counter(part)).total() < needed:
+            continue
+        n, start, end = align(part, template, 1 - len(template), len(part) - 1)
+        if n >= needed:
+            yield n, low + start, low + end
+        parts += [(low, low + start), (low + end, high)]
+
+
+def matches(index: Index, words: np.ndarray, templates: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Matches (template, matched words, first word, end) of one text; of those of a template that overlap the best stays."""
     found = []
-    for t in np.unique(seeds[:, 0]):
-        own = seeds[seeds[:, 0] == t]
-        template = index.words[t]
-        starts = np.sort(own[:, 1] - own[:, 2])
-        # Seeds whose diagonals lie close belong to one occurrence.
-        band = min(BAND, max(1, len(template) // 2))
-        groups = np.split(starts, np.flatnonzero(np.diff(starts) > band) + 1)
-        hits = []
-        for group in groups:
-            low, high = int(group[0]) - band, int(group[-1]) + band
-            n, start, end = align(words, template, low, high)
-            if n >= MIN_COVERAGE * len(template):
-                hits.append((-n, start, end))
-        kept: list[tuple[int, int, int]] = []
-        for n, start, end in sorted(set(hits)):
-            if all(end <= a or b <= start for _, a, b in kept):
-                kept.append((n, start, end))
-        found += [(int(t), -n, start, end) for n, start, end in kept]
+    for t in templates:
+        template, needed = index.words[t], index.needed[t]
+        hits = set()
+        for low, high in stretches(words, template, needed):
+            for n, start, end in occurrences(words[low:high].tolist(), template.tolist(), needed):
+                hits.add((-n, low + start, low + end))
+        kept: list[tuple[int, int, int]] = []  # by start
+        for n, start, end in sorted(hits):
+            at = bisect_left(kept, (start,))
+            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+                kept.insert(at, (start, end, -n))
+        found += [(int(t), n, start, end) for start, end, n in kept]
     return sorted(found)
 
 
@@ -197,11 +197,12 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, doc_id: str
         for part in slices(batches):
             texts = text_array(part.column("text"))
             words, starts = word_hashes(texts)
-            seeds = index.seeds(words, starts)
+            candidates = index.candidates(words, starts)
             ids = part.column("doc_id")
             rows = []
-            for i in np.unique(seeds[:, 0]):
-                found = matches(index, words[starts[i] : starts[i + 1]], seeds[seeds[:, 0] == i][:, 1:])
+            for own in np.split(candidates, np.flatnonzero(np.diff(candidates[:, 0])) + 1) if len(candidates) else []:
+                i = own[0, 0]
+                found = matches(index, words[starts[i] : starts[i + 1]], own[:, 1])
                 spans = [m.span() for m in _word.finditer(texts[int(i)].as_py())] if found else []
                 for t, n, start, end in found:
                     coverage = n / len(index.words[t])

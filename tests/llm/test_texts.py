@@ -286,3 +286,46 @@ def test_licenses_repeat_in_a_text(spark):
     assert sorted((r.span_start, r.span_end) for r in got) == [(0, len(line)), (len(line) + 3, 2 * len(line) + 3), (2 * len(line) + 4, 3 * len(line) + 4)]
     with pytest.raises(ValueError, match="fewer than"):
         licenses.Index({"short": "two words"})
+
+
+def plain_words(text):
+    return [w.strip(licenses.EDGES).lower() for w in text.split()]
+
+
+def brute_alignment(text, template):
+    """Most matched words among the alignments of the best score (match 2, else -1) over whole texts."""
+    row, best = [(0, 0)] * (len(text) + 1), (0, 0)
+    for x in template:
+        new = [(0, 0)]
+        for j, y in enumerate(text):
+            step = (row[j][0] + 2, row[j][1] + 1) if x == y else (row[j][0] - 1, row[j][1])
+            cell = max(step, *((s - 1, m) for s, m in (row[j + 1], new[j])))
+            new.append(cell if cell[0] > 0 else (0, 0))
+        row, best = new, max(best, *new)
+    return best[1]
+
+
+def test_licenses_after_edits(spark):
+    """Whatever the alignment over the whole text gives the coverage is found: one edit at every place, and several."""
+    rng, texts = random.Random(11), ["Released under an MIT License.", "Licensed under the CC BY-NC 4.0 license."]
+    for template in licenses.TEMPLATES.values():
+        words = template.split()
+        for at in range(len(words)):
+            texts += [" ".join(words[:at] + put + words[at + gone :]) for put, gone in ((["rain"], 1), (["rain"], 0), ([], 1))]
+        for n in range(1, 40):
+            edited = list(words)
+            for _ in range(rng.randrange(1, 2 + len(words) // 2)):
+                at = rng.randrange(len(edited))
+                edited[at : at + rng.randrange(2)] = rng.sample(["rain", "the", *words], rng.randrange(1, 3))
+            texts.append(" ".join(["falls"] * (n % 5) + edited + ["License"] * (n % 3)))
+    texts.append(" ".join(w + " rain" * (i % 3 == 2) for i, w in enumerate(licenses.TEMPLATES["GPL notice"].split())))
+    want = set()
+    for i, text in enumerate(texts):
+        for name, template in licenses.TEMPLATES.items():
+            own = plain_words(template)
+            n = brute_alignment(plain_words(text), own)
+            want |= {(i, name, n)} if n >= 0.8 * len(own) else set()
+    rows = [(i, text, "s", 0) for i, text in enumerate(texts)]
+    got = {(r.doc_id, r.license, r.matched_words) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert want <= got
+    assert {(0, "MIT", 4), (1, "CC-BY-NC-4.0", 5), (len(texts) - 1, "GPL notice", 41)} <= want
