@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from corpusloom.llm.common import remainder, slices, text_array
 
 TRAIN_DOCS = 4000  # labelled documents the model is fitted on, those with the smallest hashes
-TRAIN_LINES = 64  # longer documents are not drawn for training; they are scored whole like all others
+TRAIN_LINES = 64  # of a longer document so many lines in a row are learnt from; it is scored whole like all others
 FOLDS = 5
 THRESHOLD = 0.3
 STEPS = 150
@@ -182,30 +182,40 @@ def train(core: np.ndarray, length: np.ndarray, first: np.ndarray, labels: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on at most ``train_docs`` labelled rows outside the held-out fold (crc32 of the id modulo ``folds`` is 0).
-
-    The rows with the smallest hashes are drawn, so the sample is the same on every run. What comes to the driver are
-    the line features of the sample. Null labels and labels without a document are not drawn from; a document
-    labelled twice counts with the label of the row that came first by hash and label.
+    """Fit on at most ``train_docs`` labelled documents outside the held-out fold (crc32 of the id modulo ``folds`` is 0).
+
+    Of the documents with a label of 0 or 1, those with the smallest hashes are drawn, so the sample is the same on
+    every run and smaller than ``train_docs`` only if there are no more. What comes to the driver are the line features
+    of one row per document, at most ``TRAIN_LINES`` lines of each, from a line on that the id's hash gives. A document
+    labelled twice counts with the smaller label, one with several texts with the one of the smallest hash.
+    Labels that leave nothing to learn from, though there are documents, are an error; without labels or documents
+    all scores are 0.5.
     """
     known = labels.where(F.col("quality").isin(0, 1)).where(remainder(F.col("doc_id"), folds) != 0)
-    known = known.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality"), F.xxhash64("doc_id").alias("_h"))
-    sample = F.broadcast(known.orderBy("_h", "_id", "_quality").limit(train_docs))
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col("quality").cast("int")).alias("_quality"))
+    present = known.join(docs.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi").withColumn("_h", F.xxhash64("_id"))
+    sample = F.broadcast(present.orderBy("_h", "_id").limit(train_docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             core, length, first = line_features(text_array(part.column("text")))
-            few = np.flatnonzero(np.diff(first) <= TRAIN_LINES)
-            rows = [core[first[i] : first[i + 1]].astype(np.float32).ravel() for i in few]
-            sizes = [length[first[i] : first[i + 1]].astype(np.int64) for i in few]
+            n_lines = np.diff(first)
+            start = first[:-1] + part.column("_h").to_numpy() % np.maximum(1, n_lines - TRAIN_LINES + 1)
+            end = start + np.minimum(n_lines, TRAIN_LINES)
+            spans = [slice(a, b) for a, b in zip(start, end, strict=True)]
+            rows = [core[span].astype(np.float32).ravel() for span in spans]
+            sizes = [length[span].astype(np.int64) for span in spans]
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id").take(pa.array(few)), part.column("_quality").take(pa.array(few)), pa.array(rows, pa.list_(pa.float32())), pa.array(sizes, pa.list_(pa.int64()))],
+                [part.column("_id"), part.column("_quality"), pa.array(rows, pa.list_(pa.float32())), pa.array(sizes, pa.list_(pa.int64()))],
                 ["id", "quality", "core", "length"],
-            )
+            )
 
-    joined = docs.select(F.col("doc_id"), F.col("text")).join(sample, F.col("doc_id") == F.col("_id")).select("_id", "_quality", "text")
-    drawn = joined.mapInArrow(work, "id long, quality int, core array<float>, length array<long>").toPandas()
-    drawn = drawn.assign(key=[np.asarray(c).tobytes() for c in drawn["core"]]).sort_values(["id", "quality", "key"]).drop_duplicates(["id", "key"])
+    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = texts.join(sample, F.col("doc_id") == F.col("_id")).groupBy("_id", "_quality", "_h")
+    one = joined.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row")).select("_id", "_quality", "_h", "row.text")
+    drawn = one.mapInArrow(work, "id long, quality int, core array<float>, length array<long>").toPandas().sort_values("id")
+    if drawn["quality"].nunique() < 2 and not (labels.isEmpty() or docs.isEmpty()):
+        raise ValueError(f"documents of both labels are needed to learn from; {len(drawn)} documents have labels {drawn['quality'].unique()}")
     if drawn.empty:
         return train(np.empty((0, CORE)), np.empty(0), np.zeros(1, np.int64), np.empty(0, np.int64))
     core = np.concatenate(drawn["core"].to_list()).reshape(-1, CORE).astype(np.float64)

@@ -237,6 +237,21 @@ def test_quality_learns(spark):
     assert crf.quality(frame.limit(0), known).collect() == []
 
 
+def test_quality_draws_whole_samples(spark):
+    """Long documents are learnt from, labels without a document take no place, and one label alone is an error."""
+    line = {1: "It rained a little, and then it stopped.", 0: "### buy!! || now ## 50% $$$ !!"}
+    rows = [(i, "\n".join([line[i % 2]] * (crf.TRAIN_LINES + 1 + i)), "s", 0) for i in range(60)]
+    frame = spark.createDataFrame(rows + rows[:9], SCHEMA)
+    labels = [(i, i % 2, 0) for i in range(60)]
+    known = spark.createDataFrame(labels + [(10_000 + i, 1, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    texts = pa.array([t for _, t, *_ in rows], pa.large_string())
+    scores = crf.fit(frame, known, train_docs=40).scores(texts)
+    assert [s >= crf.THRESHOLD for s in scores] == [bool(i % 2) for i in range(60)]
+    for some in (known.where("quality = 1"), known.where("doc_id >= 10000")):
+        with pytest.raises(ValueError, match="both labels"):
+            crf.fit(frame, some)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="aB1 .!|*é\n", max_size=30), min_size=1, max_size=6))
 def test_line_features_do_not_depend_on_neighbouring_texts(texts):
