@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm.common import ascii_words, connected_components, slices, text_array
 from corpusloom.session import materialize
@@ -174,6 +175,22 @@ def links(fps: DataFrame) -> DataFrame:
     return sorted_buckets.mapInArrow(work, "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``fp``, ``component`` (one of its fingerprints), ``component_id`` (its smallest id)."""
+    prints = fingerprints(docs, doc_id, text)
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    component = connected_components(links(classes.select("fp")), "a", "b")
+    joined = component.withColumnRenamed("node", "fp").join(classes, "fp")
+    first = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    linked = component.withColumnRenamed("node", "fp").join(first, "component").select("fp", "component", "component_id")
+    of_class = classes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id")
+    )
+    # Written, so that the last join stands alone and the many copies of one text can be split among tasks.
+    of_class = materialize(of_class, "simhash-classes")
+    return prints.join(of_class, "fp").select("doc_id", "fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -184,31 +201,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     separate rows; null ids take part and are never the smallest (all-null components have a null id).
     Other columns are not looked at. An empty table gives no rows.
     """
-    prints = fingerprints(docs, doc_id, text)
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    component = connected_components(links(classes.select("fp")), "a", "b")
-    joined = component.withColumnRenamed("node", "fp").join(classes, "fp")
-    first = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = component.withColumnRenamed("node", "fp").join(first, "component").select("fp", "component_id")
-    of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    # Written, so that the last join stands alone and the many copies of one text can be split among tasks.
-    of_class = materialize(of_class, "simhash-classes")
-    return prints.join(of_class, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return _grouped(docs, doc_id, text).select("doc_id", fingerprint, "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest: one document of each group.
+    """One row of each component of ``docs``: that of its smallest id, and of rows that repeat the id the one of the smallest digest.
 
-    Columns are those of ``docs``. Of rows that repeat an id one stays. Rows without an id stay: nothing tells
-    which of them a decision is about.
+    Columns are those of ``docs``. Rows that repeat an id are decided on one by one: different texts under one id
+    stay, each for its component. Rows without an id stay: nothing tells which of them a decision is about.
     """
-    found = materialize(near_duplicates(docs, doc_id, text).select("doc_id", "component_id"), "simhash-groups")
-    leaving = found.where("doc_id <> component_id")
-    gone = leaving.select(F.col("doc_id").alias("_gone")).distinct().hint("shuffle_hash")
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(
-        kept.where(F.col(doc_id).isNull())
-    )
+    found = materialize(_grouped(docs, doc_id, text), "simhash-groups")
+    leaving = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    repeated = materialize(repeated, "simhash-repeats")
+    own = F.col(doc_id).cast("long")
+    if repeated.isEmpty():
+        return docs.join(leaving.distinct().hint("shuffle_hash"), own == F.col("_gone"), "left_anti")
+    gone = leaving.unionByName(repeated.select(F.col("_id").alias("_gone"))).distinct().hint("shuffle_hash")
+    kept = docs.join(gone, own == F.col("_gone"), "left_anti")
+    firsts = found.where("doc_id = component_id").join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
+    firsts = firsts.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), F.col("component").alias("_component")).distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            found = text_fingerprints(text_array(part.column(text))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, "_fp"])
+
+    several = docs.join(repeated, own == F.col("_id"), "left_semi")
+    digest = F.struct(F.md5(F.coalesce(F.col(text), F.lit(""))), F.md5(F.to_json(F.struct(*docs.columns)))).alias("_digest")
+    printed = several.mapInArrow(work, StructType([*several.schema, StructField("_fp", LongType())]))
+    rows = printed.join(firsts, (own == F.col("_id")) & (F.col("_fp") == F.col("_of"))).select(*docs.columns, "_component", digest)
+    rows = materialize(rows, "simhash-repeated")
+    least = rows.groupBy("_component").agg(F.min("_digest").alias("_digest"))
+    first = rows.join(least, ["_component", "_digest"]).dropDuplicates(["_component"])
+    return kept.unionByName(first.select(*docs.columns))

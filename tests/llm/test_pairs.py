@@ -92,6 +92,17 @@ def test_simhash(spark, near_texts):
     assert kept.columns == ["doc_id", "text", "fingerprint", "component_id"]
 
 
+def test_rows_that_repeat_an_id_are_decided_one_by_one(spark):
+    """Different texts under one id all stay, a near copy goes alone, and a rerun keeps the same rows."""
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"w{rng.randrange(300)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (5, b), (5, c), (5, a), (5, c), (7, d), (7, a), (8, b), (9, None), (9, d)]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame([(i, t, n % 2, None) for n, (i, t) in enumerate(order)], SCHEMA).repartition(3)
+        kept = [(r.doc_id, r.text) for r in simhash.keep_first(frame).collect()]
+        assert sorted(kept, key=repr) == sorted([(1, a), (5, b), (5, c), (7, d), (9, None)], key=repr)
+
+
 def test_simhash_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).collect() == []
