@@ -1,0 +1,98 @@
+"""The Merkle manifest against plain Python and against its SQL."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from corpusloom.llm import merkle
+from tests.llm.test_tables import sql_rows
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string, rank long"
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def part(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def climb(hashes):
+    """Root of the hashes, and for each the runs it stands in, level by level: (hashes before, hashes after)."""
+    sides, places = [[] for _ in hashes], list(range(len(hashes)))
+    while len(hashes) > 1:
+        runs = [hashes[i : i + 2] for i in range(0, len(hashes), 2)]
+        for leaf, place in enumerate(places):
+            run = runs[place // 2]
+            sides[leaf].append((run[: place % 2], run[place % 2 + 1 :]))
+        places = [p // 2 for p in places]
+        hashes = [H(*run) for run in runs]
+    return hashes[0], sides
+
+
+def brute(rows):
+    trees = {}
+    for doc_id, text, lang, source, n, *_ in rows:
+        make = lambda n: H(*map(part, (doc_id, source, lang, n, text)))  # noqa: B023, E731
+        hit = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 0 and n is not None
+        trees.setdefault(lang, []).append((doc_id, make(n), make(n + 1) if hit else make(n)))
+    order = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    for lang in order:
+        trees[lang].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    subroots = {lang: climb([x[1] for x in trees[lang]]) for lang in order}
+    root, tops = climb([subroots[lang][0] for lang in order])
+    out = []
+    for lang, top in zip(order, tops):
+        for (doc_id, leaf, now), sides in zip(trees[lang], subroots[lang][1]):
+            proof = ""
+            for before, after in sides + top:
+                proof += "".join(before + after)
+                now = H(*before, now, *after)
+            out.append((doc_id, leaf, subroots[lang][0], root, H(proof), now, now == root))
+    return out
+
+
+def rows_of(n, langs, seed=3):
+    rng = random.Random(seed)
+    rows = [(i * 3 - 5, rng.choice(["é", "text", "", None]) and "w" * rng.randrange(9), rng.choice(langs), rng.choice(["s", None, "中"]), rng.choice([None, i]), "clash", 7) for i in range(n)]
+    return rows + [(None, None, None, None, None, None, None), (None, "x", "en", "s", 2, "c", 1), (4, "x", "en", "s", 2, "c", 1), (4, "x", "en", "s", 2, "c", 1), (4, "y", "en", "s", 2, "c", 1)]
+
+
+@pytest.mark.parametrize("digit", [1, 2, 5])
+def test_manifest(spark, monkeypatch, digit):
+    """Blocks of 4, 16 and 1024 leaves: up to four layers."""
+    monkeypatch.setattr(merkle, "DIGIT", digit)
+    monkeypatch.setattr(merkle, "BLOCK", 1 << 2 * digit)
+    rows = rows_of(150, ["en"] * 6 + ["de", "é", "", "fr", "a"])
+    got = merkle.manifest(spark.createDataFrame(rows, SCHEMA))
+    found = sorted(map(tuple, got.collect()), key=repr)
+    assert found == sorted(brute(rows), key=repr)
+    assert {r[-1] for r in found} == {True, False}
+    if digit == 5:
+        frame = spark.createDataFrame(rows, SCHEMA)
+        assert found == sql_rows(merkle.SQL, got.columns, documents=frame)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5])
+def test_small_tables(spark, n):
+    rows = [(i, "t", "en", "s", 1, "", 0) for i in range(n)]
+    got = merkle.manifest(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, got.collect()), key=repr) == (sorted(brute(rows), key=repr) if rows else [])
+    assert got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def test_very_long_text(spark):
+    rows = [(1, "Ä" * 3_000_000, "de", "s", 3_000_000, "", 0), (7, "b", "de", None, None, "", 0)]
+    assert sorted(map(tuple, merkle.manifest(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr) == sorted(brute(rows), key=repr)
+
+
+def test_any_change_shows(spark):
+    """A proof folds to the root only with its own leaf."""
+    rows = rows_of(40, ["en", "de"])
+    clean = {r.doc_id: r for r in merkle.manifest(spark.createDataFrame(rows[:40], SCHEMA)).collect()}
+    moved = [(i, t, lang, s, n, c, x) if i != 4 else (i, "other", lang, s, n, c, x) for i, t, lang, s, n, c, x in rows[:40]]
+    changed = {r.doc_id: r for r in merkle.manifest(spark.createDataFrame(moved, SCHEMA)).collect()}
+    assert all(clean[i].root != changed[i].root for i in clean) and [i for i in clean if clean[i].leaf != changed[i].leaf] == [4]
