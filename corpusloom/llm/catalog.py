@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, crf, licenses, merkle, mixing, ppm, pstable, simhash, warc, winnow
+from corpusloom.llm import bpe, chat, crf, lexical, licenses, merkle, mixing, ppm, pstable, simhash, warc, winnow
 from corpusloom.llm.common import bound_batches, table
 
 
@@ -55,6 +55,10 @@ def op8_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op11_lexical(spark, sf_dir):
+    return lexical.rank_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -70,5 +74,6 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_winnowing": (op9_winnowing, None),
     "op10_pstable": (op10_pstable, pstable.SQL),
+    "op11_lexical": (op11_lexical, lexical.SQL),
     "op13_merkle": (op13_merkle, merkle.SQL),
 }
