@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, crf, lexical, licenses, merkle, mixing, ppm, pstable, simhash, warc, winnow
+from corpusloom.llm import bpe, chat, crf, lexical, licenses, merkle, mixing, ppm, pstable, simhash, toxicity, warc, winnow
 from corpusloom.llm.common import bound_batches, table
 
 
@@ -59,6 +59,10 @@ def op11_lexical(spark, sf_dir):
     return lexical.rank_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -75,5 +79,6 @@ QUERIES = {
     "op9_winnowing": (op9_winnowing, None),
     "op10_pstable": (op10_pstable, pstable.SQL),
     "op11_lexical": (op11_lexical, lexical.SQL),
+    "op12_toxicity": (op12_toxicity, None),
     "op13_merkle": (op13_merkle, merkle.SQL),
 }
