@@ -25,7 +25,7 @@ from corpusloom.operators.ordering import ordered_positions
 from corpusloom.session import materialize
 
 TOP = 20
-CHUNK_DOCS, CHUNK_POSTINGS = 4096, 1 << 19  # of a chunk, unless one document has more terms
+CHUNK_DOCS, CHUNK_POSTINGS = 2048, 1 << 18  # of a chunk, unless one document has more terms
 QUERIES, QUERY_TERMS = 1000, 1_000_000  # of a block of queries, unless one query has more terms
 
 # Bytes below 128 other than letters and digits separate terms.

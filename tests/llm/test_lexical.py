@@ -51,7 +51,7 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize(("docs_in_chunk", "postings", "queries"), [(4096, 1 << 19, 1000), (7, 100, 4)])
+@pytest.mark.parametrize(("docs_in_chunk", "postings", "queries"), [(2048, 1 << 18, 1000), (7, 100, 4)])
 def test_search(spark, corpus, monkeypatch, docs_in_chunk, postings, queries):
     monkeypatch.setattr(lexical, "CHUNK_DOCS", docs_in_chunk)
     monkeypatch.setattr(lexical, "CHUNK_POSTINGS", postings)
