@@ -24,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name == "documents" else df
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their language as category and a subset given by their source."""
+def documents(spark: SparkSession, sf_dir: str, as_read: bool = False) -> DataFrame:
+    """Documents with their language as category and a subset given by their source; ``as_read`` leaves them where the scan has them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if as_read else table(spark, sf_dir, "documents")
     subset = F.when(F.col("source").isin(list(TEST_SOURCES)), "test").otherwise("train")
-    return table(spark, sf_dir, "documents").select(
+    return docs.select(
         "doc_id", F.col("lang").alias("category"), subset.alias("subset"), "source", "text"
     )
 

@@ -14,7 +14,7 @@ from corpusloom.catalog.taxa import category_ctes, taxon_tables
 from corpusloom.catalog.topics import hierarchy
 from corpusloom.plans import corpora
 
-CLASS_LIMIT = 1000
+CLASS_LIMIT = 10_000
 GENERAL = ("mark_good", "en_src0")
 MERGED = {"en_src1": "en_pair", "en_src2": "en_pair", "de_src3": "de_src4"}
 
@@ -25,8 +25,9 @@ def reviews(spark, sf, categories=LANGS):
 
 
 def newsgroups(spark, sf):
-    docs = documents(spark, sf).select(F.col("doc_id").alias("message_id"), "category", "subset", "text")
-    return corpora.newsgroup_corpus(docs, CHOSEN, LANGS, strip=False)
+    """Numbered as read: the table's rows ascend by id."""
+    docs = documents(spark, sf, as_read=True).select("category", "subset", "text")
+    return corpora.newsgroup_corpus(docs, CHOSEN, LANGS, key=None, strip=False)
 
 
 def movies(spark, sf):
@@ -42,14 +43,19 @@ def movies(spark, sf):
     )
 
 
+def newswire_topics(spark, sf, docs):
+    """Two topic lines of each document: its customer's nation is the last. Documents share the customers in turn, by number."""
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("topic"))
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    number = docs.select("doc_id", (F.col("doc_id") % customers.count()).alias("c_custkey"))
+    lines = number.join(customers, "c_custkey").withColumn("line", F.explode(F.array(F.lit(1), F.lit(0))))
+    of_line = lines.withColumn("c_nationkey", (F.col("c_nationkey") + 1 - F.col("line")) % 25)
+    return of_line.join(nations, "c_nationkey").select("topic", "doc_id", F.struct("doc_id", "line").alias("line_no"))
+
+
 def newswire(spark, sf):
-    """Each customer's nation is the last of a document's two topic lines; documents and customers pair by number."""
     docs = given_split(documents(spark, sf)).select("doc_id", "split", "text")
-    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("topic"))
-    customers = table(spark, sf, "customer").select("c_custkey", F.explode(F.array(F.lit(1), F.lit(0))).alias("line"), "c_nationkey")
-    of_line = customers.withColumn("c_nationkey", (F.col("c_nationkey") + 1 - F.col("line")) % 25)
-    lines = of_line.join(nations, "c_nationkey").select("topic", F.col("c_custkey").alias("doc_id"), F.struct("c_custkey", "line").alias("line_no"))
-    return corpora.newswire_corpus(docs, lines, hierarchy(spark, sf), on_missing="drop")
+    return corpora.newswire_corpus(docs, newswire_topics(spark, sf, docs), hierarchy(spark, sf))
 
 
 def news(spark, sf, train_test=None):
@@ -104,10 +110,10 @@ _MOVIES = bag_ctes(
 )
 
 _NEWSWIRE_ROWS = f"""
-SELECT g.doc_id, g.split, g.text, t.label FROM ({GIVEN_SPLIT}) g LEFT JOIN
-  (SELECT c_custkey AS doc_id, n_regionkey, dense_rank() OVER (ORDER BY r_name) - 1 AS label
-   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) t USING (doc_id)
-WHERE g.split = 'unsup' OR t.label IS NOT NULL"""
+SELECT g.doc_id, g.split, g.text, t.label FROM ({GIVEN_SPLIT}) g JOIN
+  (SELECT c_custkey, dense_rank() OVER (ORDER BY r_name) - 1 AS label
+   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) t
+  ON c_custkey = g.doc_id % (SELECT count(*) FROM customer)"""
 _NEWSWIRE = bag_ctes(given_split_sql(_NEWSWIRE_ROWS, "doc_id", "doc_id, label, text"), _TRAIN + ("unsup",), _TRAIN, False)
 
 _NEWS = f"""{category_ctes(3)},

@@ -56,8 +56,9 @@ def _complement(spark, sf):
 
 
 def _docid_offsets(spark, sf):
-    docs = given_split(documents(spark, sf)).select(F.col("doc_id").alias("row_id"), "split", "text")
-    numbered = corpus.assign_doc_ids(docs, "split", ("train", "test", "unsup"), ("row_id",))
+    """In input order, which is that of the ids in the table."""
+    docs = given_split(documents(spark, sf, as_read=True)).select(F.col("doc_id").alias("row_id"), "split", "text")
+    numbered = corpus.assign_doc_ids(docs, "split", ("train", "test", "unsup"))
     return drop_empty(numbered).select("row_id", "split", "doc_id")
 
 

@@ -1,8 +1,8 @@
 """Bag of words: term counts, frequency-ordered vocabulary, sparse rows.
 
-Text is shuffled once, by document key, before it is exploded into terms. Counting terms per
-document, looking them up in a broadcast vocabulary and packing them back into one row per document
-then all happen inside that partitioning.
+A text is tokenised once: ``with_counts`` packs its terms and their counts into an array where the row lies. The
+vocabulary is summed from these arrays, and one shuffle of them by document key (never of the text) serves
+the lookup in a broadcast vocabulary and the packing of the sparse rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from corpusloom.session import materialize
 
 BROADCAST_BYTES = 64 << 20  # a vocabulary of at most this size is broadcast whole
 ROW_BYTES = 48  # room a broadcast row takes beside its term
+FILTER_BITS = 16  # of a Bloom filter, for each key of a table that is no broadcast
+MOST_FILTER_ROWS = 1 << 20  # of 64 bits each; the filter lets more pass if the table outgrows them
 HEAD_TERMS = 100_000  # of a larger one, terms that hold at least one in so many rows are broadcast
 
 
@@ -46,6 +48,26 @@ def filter_stop_words(
     return terms.where(~F.col(column).isin(list(words))) if words else terms
 
 
+def with_counts(docs: DataFrame, text: str = "text", pattern: str = UNICODE_TOKEN, name: str = "counts") -> DataFrame:
+    """Add the packed counts of a text: an array of (``term``, ``tf``), by term; empty for null text.
+
+    Nothing is shuffled: equal tokens stand together once sorted, so a term's count is the distance between two starts.
+    """
+    tokens_of = F.coalesce(tokens(text, pattern), F.array().cast("array<string>"))
+    columns = [F.col(c) for c in docs.columns]
+    # Steps of their own: an array that lambdas read is found once per row.
+    sorted_tokens = docs.select(*columns, F.sort_array(tokens_of).alias("_sorted"))
+    t, s = F.col("_sorted"), F.col("_starts")
+    starts = F.array_compact(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)))
+    counted = F.transform(s, lambda at, j: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(t)) - at).cast("bigint").alias("tf")))
+    return sorted_tokens.withColumn("_starts", starts).withColumn(name, counted).drop("_sorted", "_starts")
+
+
+def count_rows(docs: DataFrame, columns: Sequence[str] = ("doc_id",), counts: str = "counts") -> DataFrame:
+    """One row per term of a document, from its packed counts: ``columns``, ``term``, ``tf``."""
+    return docs.select(*columns, F.inline(counts))
+
+
 def term_frequency(
     docs: DataFrame,
     keys: Sequence[str] = ("doc_id",),
@@ -110,6 +132,17 @@ def _frequent(rows: DataFrame, key: str, broadcast_bytes: int, head_terms: int)
     return head.select(key)
 
 
+def _may_hold(rows: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with whether a Bloom filter of the table's keys (one hash, a broadcast of bounded size) may hold their key; null keys are not held."""
+    n = max(1, table.count())
+    words = min(MOST_FILTER_ROWS, 1 << (n * FILTER_BITS // 64).bit_length())
+    place = F.pmod(F.xxhash64(key), F.lit(words * 64))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    bits = table.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = F.col(key).isNotNull() & F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return rows.join(F.broadcast(bits), word == F.col("_word"), "left").withColumn(name, held).drop("_word", "_bits")
+
+
 def match(
     rows: DataFrame,
     table: DataFrame,
@@ -121,23 +154,20 @@ def match(
     """Join ``rows``, of which few keys may hold most, with a ``table`` of distinct keys: inner, left or left_anti.
 
     A table that fits is broadcast after its size is measured. Of a larger one the frequent keys are: no
-    more than ``head_terms`` keys can each hold 1/head_terms of the rows, and they match where they lie. The
-    others are shuffled by key, none of them a hot one.
+    more than ``head_terms`` keys can each hold 1/head_terms of the rows, and they match where they lie. Null keys and those
+    that a Bloom filter of the table does not hold have no match and stay where they lie, too. The others are shuffled by
+    key, none of them a hot one.
     """
     if _bytes(table, key) <= broadcast_bytes:
         return rows.join(F.broadcast(table), key, how)
     rows = materialize(rows, "keyed_rows")
-    frequent = _frequent(rows, key, broadcast_bytes, head_terms)
+    frequent = _frequent(rows.where(F.col(key).isNotNull()), key, broadcast_bytes, head_terms)
     near = rows.join(F.broadcast(frequent), key, "left_semi").join(F.broadcast(table.join(F.broadcast(frequent), key)), key, how)
-    return near.unionByName(rows.join(F.broadcast(frequent), key, "left_anti").join(table, key, how))
-
-
-def _match_terms(
-    terms: DataFrame, vocab: DataFrame, keep_unmatched: bool, broadcast_bytes: int, head_terms: int
-) -> DataFrame:
-    columns = [c for c in terms.columns if c != "term"]
-    how = "left" if keep_unmatched else "inner"
-    return match(terms, vocab.select("term", "word_id"), "term", how, broadcast_bytes, head_terms).select(*columns, "word_id")
+    rest = _may_hold(rows.join(F.broadcast(frequent), key, "left_anti"), table, key, "_held")
+    found = near.unionByName(rest.where("_held").drop("_held").join(table, key, how))
+    if how == "inner":
+        return found
+    return found.unionByName(rest.where("not _held").drop("_held"), allowMissingColumns=True)
 
 
 def transform_bow(
@@ -147,7 +177,8 @@ def transform_bow(
     head_terms: int = HEAD_TERMS,
 ) -> DataFrame:
     """Word ids for terms; terms outside the vocabulary are dropped."""
-    return _match_terms(terms, vocab, False, broadcast_bytes, head_terms)
+    columns = [c for c in terms.columns if c != "term"]
+    return match(terms, vocab.select("term", "word_id"), "term", "inner", broadcast_bytes, head_terms).select(*columns, "word_id")
 
 
 def packed(word_id: str = "word_id", tf: str = "tf") -> Column:
@@ -163,6 +194,31 @@ def pack_bow(docs: DataFrame, bow: DataFrame, keys: Sequence[str] = ("doc_id",))
     return docs.join(rows, list(keys), "left").withColumn("features", F.coalesce("features", empty))
 
 
+def bag_of_counts(
+    docs: DataFrame,
+    vocab: DataFrame,
+    keys: Sequence[str] = ("doc_id",),
+    carry: Sequence[str] = (),
+    counts: str = "counts",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    head_terms: int = HEAD_TERMS,
+) -> DataFrame:
+    """Packed counts to sparse rows; a document without known words gets an empty one.
+
+    With a vocabulary that fits a broadcast the arrays are shuffled once, by document. With a larger one terms meet it by key, those
+    outside it are dropped before that, and each document has a row of its own beside its terms, so that none is lost.
+    """
+    vocab = vocab.select("term", "word_id")
+    narrow = docs.select(*keys, *carry, counts)
+    if _bytes(vocab, "term") <= broadcast_bytes:
+        terms = narrow.repartition(*keys).select(*keys, *carry, F.inline_outer(counts))
+        matched = terms.join(F.broadcast(vocab), "term", "left")
+    else:
+        matched = match(count_rows(narrow, [*keys, *carry], counts), vocab, "term", "inner", broadcast_bytes, head_terms)
+        matched = matched.select(*keys, *carry, "word_id", "tf").unionByName(narrow.select(*keys, *carry), allowMissingColumns=True)
+    return matched.groupBy(*keys, *carry).agg(packed().alias("features"))
+
+
 def bag_of_words(
     docs: DataFrame,
     vocab: DataFrame,
@@ -173,10 +229,9 @@ def bag_of_words(
     broadcast_bytes: int = BROADCAST_BYTES,
     head_terms: int = HEAD_TERMS,
 ) -> DataFrame:
-    """Text to sparse rows in one shuffle: count, look up and pack by document."""
-    terms = term_frequency(docs, keys, carry, text, pattern, outer=True)
-    matched = _match_terms(terms, vocab, True, broadcast_bytes, head_terms)
-    return matched.groupBy(*keys, *carry).agg(packed().alias("features"))
+    """Text to sparse rows in one shuffle, of the packed counts. A corpus that is also fitted packs them once for both."""
+    counted = with_counts(docs.select(*keys, *carry, text), text, pattern, "_counts")
+    return bag_of_counts(counted, vocab, keys, carry, "_counts", broadcast_bytes, head_terms)
 
 
 def reindex_words(

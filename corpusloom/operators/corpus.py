@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import category_label, check_known
 from corpusloom.operators.ordering import ordered_positions
+from corpusloom.session import materialize
 
 
 def select_categories(df: DataFrame, categories: Sequence[str], column: str = "category") -> DataFrame:
@@ -32,18 +34,51 @@ def label_categories(
     return select_categories(df, chosen, column).withColumn(label, category_label(column, chosen))
 
 
+def _part_number(part: str, parts: Sequence[str]) -> Column:
+    """Place of the row's part among the parts; an unknown one is an error."""
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in parts]), F.col(part)), F.lit(0).cast("bigint"))
+    unknown = F.raise_error(F.concat(F.lit("unknown part: "), F.coalesce(F.col(part).cast("string"), F.lit("null"))))
+    return F.when(rank == 0, unknown.cast("bigint")).otherwise(rank)
+
+
+def with_counters(df: DataFrame, part: str, parts: Sequence[str], position: str | None = None) -> DataFrame:
+    """Add what ``number_written`` needs to number rows in input order, part by part, once they are written.
+
+    ``_at`` says which stretch of the input a row is from: its file and block if ``position`` names a reader's line position,
+    else the partition it is read in. ``_count`` counts the rows of the same part there: each branch has a counter
+    of its own, which goes up only for its rows. Nothing is shuffled, and a shuffle of the rows afterwards does no harm.
+    """
+    at = F.struct(F.spark_partition_id().alias("partition")) if position is None else F.struct(f"{position}.file", f"{position}.block")
+    local = lambda: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    counter = reduce(lambda when, p: when.when(F.col(part) == p, local()), parts, F.when(F.lit(False), F.lit(-1).cast("bigint")))
+    return df.withColumns({"_part": _part_number(part, parts), "_at": at, "_count": counter})
+
+
+def number_written(written: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Numbers for written rows of ``with_counters``: the rows of the parts and stretches before a row's own, and its place there.
+
+    Only narrow columns are read to find the sums; the table of sums has a row per part and stretch.
+    """
+    sums = written.groupBy("_part", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_count").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_part", "_at")) - F.col("_n") - F.col("_first")
+    starts = materialize(sums.select("_part", "_at", before.alias("_start")), "part-starts")
+    numbered = written.join(starts, ["_part", "_at"]).withColumn(doc_id, F.col("_start") + F.col("_count"))
+    return numbered.drop("_part", "_at", "_count", "_start")
+
+
 def assign_doc_ids(
-    df: DataFrame, part: str, parts: Sequence[str], key: Sequence[str], doc_id: str = "doc_id"
+    df: DataFrame, part: str, parts: Sequence[str], key: Sequence[str] | None = None, doc_id: str = "doc_id", position: str | None = None
 ) -> DataFrame:
-    """Number documents by input order within each part, the parts one after another.
+    """Number documents within each part, the parts one after another: in input order, or by ``key``.
 
-    Run it before empty documents are dropped: they keep their numbers. The rows move once, into their order, and
-    take their text along. Null keys come first in their part, and rows that repeat a key follow each
-    other in no fixed order; a part that is not in ``parts`` is an error.
+    Run it before empty documents are dropped: they keep their numbers. In input order rows are written once and not
+    moved: files by name, their blocks and rows in order, if ``position`` names the line position of a reader. By key, rows move once, into
+    their order, and take their text along; null keys come first in their part, and rows that repeat a key
+    follow each other in no fixed order. A part that is not in ``parts`` is an error.
     """
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in parts]), F.col(part)), F.lit(0).cast("bigint"))
-    unknown = F.raise_error(F.concat(F.lit("unknown part: "), F.coalesce(F.col(part).cast("string"), F.lit("null"))))
-    ranked = df.withColumn("_rank", F.when(rank == 0, unknown.cast("bigint")).otherwise(rank))
+    if key is None:
+        return number_written(materialize(with_counters(df, part, parts, position), "numbered"), doc_id)
+    ranked = df.withColumn("_rank", _part_number(part, parts))
     return ordered_positions(ranked, ["_rank", *key], doc_id).drop("_rank")
 
 

@@ -14,6 +14,7 @@ from corpusloom.operators import bow, corpus, labels, sampling, splits, taxonomy
 from corpusloom.operators.ordering import Order
 from corpusloom.session import materialize
 from corpusloom.sinks import writers
+from corpusloom.sources import readers
 
 # Known categories, in the order that labels follow.
 NEWSGROUP_CATEGORIES = (
@@ -119,60 +120,50 @@ class Corpus:
             writers.write_doc_text(part, f"{path.rstrip('/')}/{name}", self.order.columns())
 
 
-def build(
-    docs: DataFrame,
-    settings: Settings,
-    order: Order,
-    binary: bool,
-    carry: Sequence[str] = (),
-    written: bool = False,
-) -> Corpus:
-    """Vocabulary and sparse rows of documents that have text, label and split.
+def prepare(docs: DataFrame, settings: Settings, name: str) -> DataFrame:
+    """Write cleaned documents once, with the packed counts of their text: the only time it is tokenised."""
+    return materialize(bow.with_counts(docs, pattern=settings.token_pattern), name)
 
-    The cleaned documents are written once, since fitting and transforming both read them. ``written``
-    says they already are, but for their split, which is cheap to find again.
-    """
+
+def build(docs: DataFrame, settings: Settings, order: Order, binary: bool, carry: Sequence[str] = ()) -> Corpus:
+    """Vocabulary and sparse rows of prepared documents that have label and split; both read the packed counts alone."""
     supervised = F.when(F.col("split") != "unsup", F.col("label"))
     docs = docs.withColumn("label", supervised.cast("int"))
-    if not written:
-        docs = materialize(docs, "docs")
-    rows = bow.token_rows(docs, ["split"], pattern=settings.token_pattern)
-    rows = bow.filter_stop_words(rows, settings.stop_words)
+    rows = bow.filter_stop_words(bow.count_rows(docs, ["split"]), settings.stop_words)
     vocab = bow.fit_vocab(rows, settings.fit_scope, settings.order_scope)
     columns = [c for c in ("label", "split", *carry) if c not in order.keys]
-    features = bow.bag_of_words(docs, vocab, order.keys, columns, pattern=settings.token_pattern)
-    return Corpus(docs, vocab, features, order.keys, order, binary, settings.index_base)
+    features = bow.bag_of_counts(docs, vocab, order.keys, columns)
+    return Corpus(docs.drop("counts"), vocab, features, order.keys, order, binary, settings.index_base)
 
 
 def newsgroup_corpus(
     messages: DataFrame,
     categories: Sequence[str] = NEWSGROUP_CHOICES["six"],
     all_categories: Sequence[str] = NEWSGROUP_CATEGORIES,
-    key: Sequence[str] = ("message_id",),
+    key: Sequence[str] | None = ("message_id",),
     settings: Settings = NEWSGROUPS,
     strip: bool = True,
 ) -> Corpus:
     """Messages ``(key, category, subset, text)`` with given train and test subsets; the categories
-    that were not chosen are the unsupervised part. Documents are numbered train, test, unsupervised."""
+    that were not chosen are the unsupervised part. Documents are numbered train, test, unsupervised, each part by
+    ``key``, or in the order in which they are read if that is None: no row moves for that."""
     check_known(categories, all_categories)
     chosen = F.col("category").isin(list(categories))
     part = F.when(chosen, F.col("subset")).otherwise("unsup")
     known = corpus.select_categories(messages, all_categories)
     labelled = [c for c in sorted(all_categories) if c in categories]
-    text = strip_parts("text") if strip else F.col("text")
-    docs = known.select(
-        *key,
-        corpus.category_label("category", labelled).alias("label"),
-        part.alias("split"),
-        clean(text, "newsgroups").alias("text"),
-    )
-    numbered = corpus.assign_doc_ids(docs, "split", ("train", "test", "unsup"), key)
+    parts = ("train", "test", "unsup")
+    docs = known.select(*(key or ()), corpus.category_label("category", labelled).alias("label"), part.alias("split"), "text")
+    # Counted where they are read, before the rows are dealt to all cores.
+    docs = readers.spread(corpus.with_counters(docs, "split", parts)) if key is None else corpus.assign_doc_ids(docs, "split", parts, key)
+    cleaned = docs.withColumn("text", clean(strip_parts("text") if strip else F.col("text"), "newsgroups"))
     # Written with its length, so that dropping the empty ones neither cleans twice nor reads the text.
-    written = materialize(numbered.select("doc_id", "label", "split", "text", F.length("text").alias("n_chars")), "messages")
-    kept = written.where("n_chars > 0").drop("n_chars")
+    written = prepare(cleaned.withColumn("n_chars", F.length("text")), settings, "messages")
+    written = corpus.number_written(written) if key is None else written
+    kept = written.where("n_chars > 0").select("doc_id", "label", "split", "text", "counts")
     order = Order(seed=settings.seed)
     cut = splits.split_given(kept, settings.sup_valid, order=order)
-    return build(cut, settings, order, len(categories) == 2, written=True)
+    return build(cut, settings, order, len(categories) == 2)
 
 
 def review_corpus(
@@ -186,18 +177,18 @@ def review_corpus(
     """Reviews ``(doc_id, category, text)``: an equal sample of each category, cleaned, cut three times."""
     labelled = corpus.label_categories(reviews.select("doc_id", "category", "text"), categories, all_categories)
     sample = sampling.sample_per_category(labelled, "category", class_limit, settings.sample_seed, strict=strict)
-    docs = materialize(sample.select("doc_id", "label", clean("text", "reviews").alias("text")), "reviews")
+    docs = prepare(sample.select("doc_id", "label", clean("text", "reviews").alias("text")), settings, "reviews")
     order = Order(seed=settings.seed)
     binary = len(categories) == 2 or corpus.is_binary(docs).first()["is_binary"]
     cut = splits.split_nested(docs, settings.train_test, settings.sup_unsup, settings.sup_valid, order)
-    return build(cut, settings, order, binary, written=True)
+    return build(cut, settings, order, binary)
 
 
 def movie_corpus(reviews: DataFrame, settings: Settings = MOVIES) -> Corpus:
     """Movie reviews ``(label, doc_id, fold, text)``: each class cleaned its own way; the vocabulary is of
     all documents. A document id may occur in both classes, so the key holds the class too."""
     cleaned = F.when(F.col("label") == 0, clean("text", "movie_neg")).otherwise(clean("text", "movie_pos"))
-    docs = reviews.select(F.col("label").alias("class"), "label", "doc_id", "fold", cleaned.alias("text"))
+    docs = prepare(reviews.select(F.col("label").alias("class"), "label", "doc_id", "fold", cleaned.alias("text")), settings, "movies")
     order = Order(("class", "doc_id"), settings.seed)
     cut = splits.split_nested(docs, settings.train_test, settings.sup_unsup, settings.sup_valid, order)
     return build(cut, settings, order, True, ["fold"])
@@ -224,10 +215,9 @@ def newswire_corpus(
     supervised = labels.lookup_label(docs.where(F.col("split") != "unsup"), doc_labels, on_missing=on_missing)
     pool = docs.where(F.col("split") == "unsup").withColumn("label", F.lit(None).cast("bigint"))
     order = Order(seed=settings.seed)
-    # Written once, so that cutting, fitting and transforming read neither the sources nor the labels again.
-    labelled = materialize(supervised.unionByName(pool).select("doc_id", "split", "label", "text"), "newswire")
+    labelled = prepare(supervised.unionByName(pool).select("doc_id", "split", "label", "text"), settings, "newswire")
     cut = splits.split_given(labelled, settings.sup_valid, order=order)
-    return build(cut, settings, order, False, written=True), topics
+    return build(cut, settings, order, False), topics
 
 
 # Output names, for labelled documents kept together and for those split into train and test.
