@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import check_known, svmlight_line, text_line
@@ -13,7 +13,7 @@ from corpusloom.functions.text import ASCII_TOKEN, ENGLISH_STOP_WORDS, UNICODE_T
 from corpusloom.operators import bow, corpus, labels, sampling, splits, taxonomy
 from corpusloom.operators.ordering import Order
 from corpusloom.session import materialize
-from corpusloom.sinks import writers
+from corpusloom.sinks import publish, writers
 from corpusloom.sources import readers
 
 # Known categories, in the order that labels follow.
@@ -104,20 +104,24 @@ class Corpus:
         return self.docs.select(*self.keys, "split", text_line("doc_id", "text").alias("line"))
 
     def write(self, path: str) -> None:
-        """Dataset first; the bag-of-words files are then read from it, each from its own split."""
-        path = path.rstrip("/")
-        dataset = f"{path}/{writers.DATASET}"
-        writers.write_dataset(self.features, dataset)
-        stored = self.features.sparkSession.read.parquet(dataset)
-        order = self.order.columns()
-        for split, name in writers.BOW_FILES.items():
-            writers.write_svmlight(stored.where(F.col("split") == split), f"{path}/{name}", self.binary, self.index_base, order)
-        writers.write_vocab(self.vocab, f"{path}/{writers.VOCAB_FILE}")
+        """Dataset first; the bag-of-words files are then read from it, in one pass. All appear together, once complete."""
+        _write_features(self.features, self.vocab, path, writers.BOW_FILES, self.binary, self.index_base, self.order.columns())
 
     def write_text(self, path: str) -> None:
-        for split, name in writers.TEXT_FILES.items():
-            part = self.docs.where(F.col("split") == split)
-            writers.write_doc_text(part, f"{path.rstrip('/')}/{name}", self.order.columns())
+        """The text files of all splits, in one pass over the documents."""
+        with publish.staging(self.docs.sparkSession, path, list(writers.TEXT_FILES.values())) as staged:
+            writers.write_split_lines(self.docs, text_line("doc_id", "text"), staged, writers.TEXT_FILES, self.order.columns())
+
+
+def _write_features(
+    features: DataFrame, vocab: DataFrame, path: str, files: Mapping[str, str], binary: bool, index_base: int, order: Sequence[Column | str]
+) -> None:
+    spark = features.sparkSession
+    with publish.staging(spark, path, [writers.DATASET, *files.values(), writers.VOCAB_FILE]) as staged:
+        writers.write_dataset(features, f"{staged}/{writers.DATASET}")
+        stored = spark.read.parquet(f"{staged}/{writers.DATASET}")
+        writers.write_split_lines(stored, svmlight_line("label", "features", binary, index_base), staged, files, order)
+        writers.write_vocab(vocab, f"{staged}/{writers.VOCAB_FILE}")
 
 
 def prepare(docs: DataFrame, settings: Settings, name: str) -> DataFrame:
@@ -184,6 +188,9 @@ def review_corpus(
     return build(cut, settings, order, binary)
 
 
+MOVIE_ORDER = Order(("class", "doc_id"), MOVIES.seed)
+
+
 def movie_corpus(reviews: DataFrame, settings: Settings = MOVIES) -> Corpus:
     """Movie reviews ``(label, doc_id, fold, text)``: each class cleaned its own way; the vocabulary is of
     all documents. A document id may occur in both classes, so the key holds the class too."""
@@ -248,13 +255,7 @@ class TaxonCorpus:
         return texts.join(self.doc_splits.select("doc_id", "split"), "doc_id")
 
     def write(self, path: str) -> None:
-        path = path.rstrip("/")
-        dataset = f"{path}/{writers.DATASET}"
-        writers.write_dataset(self.features, dataset)
-        stored = self.features.sparkSession.read.parquet(dataset)
-        for split, name in self.files.items():
-            writers.write_svmlight(stored.where(F.col("split") == split), f"{path}/{name}", False, self.index_base)
-        writers.write_vocab(self.vocab, f"{path}/{writers.VOCAB_FILE}")
+        _write_features(self.features, self.vocab, path, self.files, False, self.index_base, ["doc_id"])
 
 
 def news_corpus(

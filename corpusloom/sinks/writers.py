@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import svmlight_line, text_line, topic_line
+from corpusloom.sinks import publish
 
 # Where each split's bag of words and text go.
 BOW_FILES = {
@@ -30,6 +32,20 @@ def _write_lines(df: DataFrame, line: Column, path: str, order: Sequence[Column
     df.orderBy(*order).select(line.alias("value")).write.text(path)
 
 
+def write_split_lines(df: DataFrame, line: Column, path: str, files: Mapping[str, str], order: Sequence[Column | str]) -> None:
+    """Lines of each split to the name that ``files`` gives it, in one pass: one range partitioning, one write.
+
+    A split without rows is an empty output.
+    """
+    spark, aside = df.sparkSession, f"{path}/_lines-{uuid.uuid4().hex}"
+    named = df.where(F.col("split").isin(list(files)))
+    placed = named.repartitionByRange("split", *order).sortWithinPartitions("split", *order)
+    placed.select("split", line.alias("value")).write.partitionBy("split").text(aside)
+    for split, name in files.items():
+        publish.move(spark, f"{aside}/split={split}", f"{path}/{name}")
+    publish.delete(spark, aside)
+
+
 def write_svmlight(
     df: DataFrame, path: str, binary: bool = False, index_base: int = 1, order: Sequence[Column | str] = ("doc_id",)
 ) -> None:
