@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.catalog import bags, corpora, files, ordering, outputs, taxa, texts, topics
+from corpusloom.catalog import bags, corpora, files, ordering, outputs, standard_runs, taxa, texts, topics
 
-MODULES = (texts, ordering, bags, topics, taxa, corpora, files, outputs)
+MODULES = (texts, ordering, bags, topics, taxa, corpora, files, outputs, standard_runs)
 
 
 def queries() -> dict:

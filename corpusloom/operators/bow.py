@@ -64,8 +64,12 @@ def with_counts(docs: DataFrame, text: str = "text", pattern: str = UNICODE_TOKE
 
 
 def count_rows(docs: DataFrame, columns: Sequence[str] = ("doc_id",), counts: str = "counts") -> DataFrame:
-    """One row per term of a document, from its packed counts: ``columns``, ``term``, ``tf``."""
-    return docs.select(*columns, F.inline(counts))
+    """One row per term of a document, from its packed counts: ``columns``, ``term``, ``tf``.
+
+    Empty arrays are dropped after the generator: a plain ``inline`` has them filtered below it, where the filter would
+    repeat whatever makes the arrays, once for each of their elements, if they are not written.
+    """
+    return docs.select(*columns, F.inline_outer(counts)).where(F.col("term").isNotNull())
 
 
 def term_frequency(

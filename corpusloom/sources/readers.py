@@ -21,8 +21,8 @@ RECORD = r"(?s)\A(?:\.I )?[ \t]*(\d+)\s+\.W(?:\s(.*))?\z"
 # Required fields of a review record.
 REVIEW_FIELDS = {"reviewText": "text", "reviewerID": "reviewer_id"}
 
-# Name of a one-document file, and the label of the directory it lies in.
-MOVIE_FILE = r"/(neg|pos)/cv(\d+)_(\d+)\.[^/]*$"
+# Name of a one-document file (or of a folder with its one part), and the label of the directory it lies in.
+MOVIE_FILE = r"/(neg|pos)/(?:name=)?cv(\d+)_(\d+)\.[^/]*(?:/[^/]*)?$"
 MOVIE_LABELS = {"neg": 0, "pos": 1}
 
 
@@ -76,8 +76,11 @@ def read_review_categories(
 
 
 def read_movie_reviews(spark: SparkSession, root: str) -> DataFrame:
-    """``(label, doc_id, fold, text)`` of ``<neg|pos>/cv<number>_<doc id>.txt`` files, one document each."""
-    files = spark.read.text([f"{root.rstrip('/')}/{name}" for name in MOVIE_LABELS], wholetext=True)
+    """``(label, doc_id, fold, text)`` of ``<neg|pos>/cv<number>_<doc id>.txt`` files, one document each.
+
+    A folder of such a name that holds one part file is a document, too, as Spark writes it partitioned by ``name``.
+    """
+    files = spark.read.text([f"{root.rstrip('/')}/{name}" for name in MOVIE_LABELS], wholetext=True, recursiveFileLookup=True)
     path = F.col("_metadata.file_path")
     return files.select(
         F.when(F.regexp_extract(path, MOVIE_FILE, 1) == "neg", MOVIE_LABELS["neg"]).otherwise(MOVIE_LABELS["pos"]).alias("label"),

@@ -156,3 +156,48 @@ def test_stop_words_and_word_ids_beyond_a_broadcast(spark):
     moved, vocab = bow.reindex_words(doc_word, words, broadcast_bytes=0, head_terms=1)
     assert sorted(map(tuple, moved.collect())) == [(1, 1, 5), (2, 0, 9), (2, 1, 1)]
     assert [r.term for r in vocab.orderBy("word_id").collect()] == ["a", "b", "c"]
+
+
+def test_packed_counts(spark, docs):
+    """Equal to counting by explosion, written or not, for empty and null texts too."""
+    packed = bow.with_counts(docs, pattern="[a-z0-9_]{2,}")
+    assert {r.doc_id: [tuple(c) for c in r.counts] for r in packed.collect()} == {
+        i: sorted((t, n) for t, n in Counter((text or "").split()).items()) for i, _, text in DOCS
+    }
+    want = sorted(map(tuple, bow.term_frequency(docs).select("doc_id", "term", "tf").collect()))
+    assert sorted(map(tuple, bow.count_rows(packed).collect())) == want
+    long = spark.createDataFrame([(1, " ".join(f"w{i % 700}" for i in range(20_000)))], "doc_id long, text string")
+    assert {r.tf for r in bow.count_rows(bow.with_counts(long)).collect()} == {28, 29}
+
+
+def test_a_corpus_is_tokenised_once(spark, docs):
+    from corpusloom.operators.ordering import Order
+    from corpusloom.plans import corpora
+
+    prepared = corpora.prepare(docs.withColumn("label", F.lit(0)), corpora.REVIEWS, "docs")
+    made = corpora.build(prepared, corpora.REVIEWS, Order(), True)
+    for part in (made.features, made.vocab, made.docs):
+        assert "regexp_extract_all" not in plan(part)
+    above_vocabulary = plan(made.features).split("BroadcastExchange")[0]
+    assert above_vocabulary.count("Exchange") == 1 and "text" not in above_vocabulary
+
+
+def test_unmatched_keys_stay_where_they_lie(spark):
+    """A third of the keys are null, a third unknown: neither is dealt by key."""
+    key = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.concat(F.lit("oov"), "id")).otherwise(F.concat(F.lit("k"), F.col("id") % 90))
+    rows = spark.range(0, 6000, 1, 8).select("id", key.alias("key"))
+    table = spark.range(90).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("n"))
+    got = bow.match(rows, table, "key", "left", broadcast_bytes=0, head_terms=0)
+    nulls = got.where("key is null").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in nulls) == 2000 and max(r["count"] for r in nulls) < 1000
+    held = bow._may_hold(rows, table, "key", "held").where("held")
+    assert held.where("key is null").count() == 0
+    assert 2000 <= held.count() < 2400
+
+
+def test_empty_documents_beside_a_large_vocabulary(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "if(id % 3 = 0, null, concat('ab w', id % 7)) AS text")
+    vocab = bow.fit_vocab(bow.token_rows(docs))
+    plain = features(bow.bag_of_words(docs, vocab))
+    assert features(bow.bag_of_words(docs, vocab, broadcast_bytes=0, head_terms=1)) == plain
+    assert sum(not f for f in plain.values()) == 100
