@@ -134,13 +134,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of the mix, columns as in ``docs``, each as often as the mix takes it."""
-    columns = docs.columns
-    measured = measure(docs)
+    """The rows of the mix, columns as in ``docs``, each as often as the mix takes it.
+
+    A row travels in one struct, so its columns may have any names.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    measured = measure(docs.select(row, "doc_id", "source", "text"))
     narrow = materialize(measured.select("doc_id", "source", "_size", "_key", "_bucket"), "mix-sizes")
     mixed = apply(measured, plan(narrow)).where("copies > 0")
     repeated = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*columns)
+    return repeated.select("_row.*")
 
 
 SQL = rf"""

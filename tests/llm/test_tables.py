@@ -149,6 +149,19 @@ def test_mixing(spark, sources):
     assert set(want.values()) == {0}
 
 
+def test_mixing_keeps_columns_of_any_name(spark, sources):
+    """Columns named as the mix's own and its helpers come out as they went in."""
+    names = ["copies", "target", "source_size", "epochs", "_size", "_key", "_bucket", "_of", "_copy", "_row", "a.b"]
+    docs = sources
+    for name in names:
+        docs = docs.withColumn(name, mixing.F.concat(mixing.F.lit(f"{name} "), mixing.F.coalesce("doc_id", mixing.F.lit(-9)).cast("string")))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    rows = mixed.collect()
+    assert rows and all(r[name] == f"{name} {-9 if r['doc_id'] is None else r['doc_id']}" for r in rows for name in names)
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in mixing.mix(sources).collect())
+
+
 def test_mixing_of_nothing(spark, sources):
     assert mixing.report(sources.limit(0)).collect() == []
     assert mixing.mix(sources.limit(0)).collect() == []
