@@ -58,6 +58,31 @@ def _tree_topics(spark, sf):
     return taxonomy.rollup_tree(nodes, tree, on_missing="null")
 
 
+def _tree_faults(spark, sf):
+    """Customers under other customers: 3 to 12 go in circles, a tenth hangs below them, 1 and 2 have no parent."""
+    number = F.col("c_custkey")
+    parent = F.when(number <= 2, F.lit("nobody")).when(number <= 12, F.when(number % 5 == 2, number - 4).otherwise(number + 1).cast("string"))
+    parent = parent.when(number % 10 == 0, F.lit("7")).when(number % 10 == 1, (number - 1).cast("string")).when(number % 10 == 2, F.lit("1")).otherwise("Root")
+    customers = table(spark, sf, "customer").select(number.cast("string").alias("child"), parent.alias("parent"))
+    return taxonomy.tree_faults(customers).select("node", "fault")
+
+
+_FAULTS = """
+WITH RECURSIVE h AS (
+    SELECT CAST(c_custkey AS VARCHAR) AS child,
+           CASE WHEN c_custkey <= 2 THEN 'nobody'
+                WHEN c_custkey <= 12 THEN CAST(CASE c_custkey % 5 WHEN 2 THEN c_custkey - 4 ELSE c_custkey + 1 END AS VARCHAR)
+                WHEN c_custkey % 10 = 0 THEN '7' WHEN c_custkey % 10 = 1 THEN CAST(c_custkey - 1 AS VARCHAR)
+                WHEN c_custkey % 10 = 2 THEN '1' ELSE 'Root' END AS parent
+    FROM customer),
+walk(node, up) AS (
+    SELECT child, parent FROM h
+    UNION SELECT walk.node, h.parent FROM walk JOIN h ON h.child = walk.up),
+ends AS (SELECT node, bool_or(up = 'Root') AS rooted, bool_or(up = 'nobody') AS lost, bool_or(up = node) AS circling FROM walk GROUP BY node)
+SELECT node, CASE WHEN circling THEN 'on a circle' WHEN lost THEN 'no root' ELSE 'below a circle' END AS fault
+FROM ends WHERE NOT rooted"""
+
+
 def _topic_remap(spark, sf):
     docs = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").alias("topic_id"))
     mapping = table(spark, sf, "nation").select(F.col("n_nationkey").alias("topic_id"), F.col("n_regionkey").alias("top_id"))
@@ -129,4 +154,5 @@ QUERIES = {
         _tree_topics,
         f"{ROLLUP} SELECT topic, top_topic FROM walk UNION ALL SELECT 'Root', NULL",
     ),
+    "tree_faults": (_tree_faults, _FAULTS),
 }

@@ -113,30 +113,61 @@ def top_topics(hierarchy: DataFrame, root: str = "Root") -> DataFrame:
     return ordered_positions(top, ["topic"], "topic_id").select("topic_id", "topic", "description")
 
 
-def rollup_tree(
-    topics: DataFrame, hierarchy: DataFrame, topic: str = "topic", root: str = "Root", on_missing: str = "error"
-) -> DataFrame:
-    """Add each topic's ancestor directly under the root as ``top_topic``.
+def _climb(hierarchy: DataFrame, root: str) -> DataFrame:
+    """Where each node's parents lead: ``node``, ``up``, ``end``.
 
-    Pointers to ancestors double their reach in every round, each round a written table, so a tree of any depth
-    takes a number of rounds that is the logarithm of its depth. A topic outside the tree, or the root
-    itself, is an error, is dropped, or gets null; so is one whose parents go in a circle.
+    ``end`` is "root" (``up`` is the ancestor directly under it), "missing" (``up`` is the ancestor that has no parent) or null
+    (the parents go in a circle, and ``up`` lies on it). Pointers to ancestors double their reach in every round, each round a written table.
     """
     # One parent per child and none for the root.
     edges = materialize(
         hierarchy.where(F.col("child") != root).groupBy("child").agg(F.max("parent").alias("parent")), "edges"
     )
+    known = edges.select(F.col("child").alias("parent"), F.lit(True).alias("known"))
     top = F.col("parent") == root
-    up = edges.select(F.col("child").alias("node"), F.when(top, F.col("child")).otherwise(F.col("parent")).alias("up"), top.alias("done"))
-    # Circles never get done: no path is longer than there are nodes.
+    end = F.when(top, "root").when(F.col("known").isNull(), "missing")
+    up = edges.join(known, "parent", "left").select(
+        F.col("child").alias("node"), F.when(top, F.col("child")).otherwise(F.col("parent")).alias("up"), end.alias("end")
+    )
+    # Circles never end: no path is longer than there are nodes.
     for _ in range(max(edges.count() - 1, 0).bit_length()):
-        if up.where(~F.col("done")).isEmpty():
+        if up.where("end is null").isEmpty():
             break
-        hop = up.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("done").alias("then_done"))
-        moved = up.where(~F.col("done")).join(hop, "up").select("node", F.col("further").alias("up"), F.col("then_done").alias("done"))
-        up = materialize(up.where("done").unionByName(moved), "ancestors")
-    reached = up.where("done").select(F.col("node").alias(topic), F.col("up").alias("top_topic"))
-    joined = topics.join(reached, topic, "inner" if on_missing == "drop" else "left")
-    return joined.withColumn(
-        "top_topic", missing_or(F.col("top_topic"), on_missing, F.col(topic), "no topic under the root above")
-    )
+        hop = up.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("end").alias("then_end"))
+        moved = up.where("end is null").join(hop, "up").select("node", F.col("further").alias("up"), F.col("then_end").alias("end"))
+        up = materialize(up.where("end is not null").unionByName(moved), "ancestors")
+    return up
+
+
+def rollup_tree(
+    topics: DataFrame, hierarchy: DataFrame, topic: str = "topic", root: str = "Root", on_missing: str = "error"
+) -> DataFrame:
+    """Add each topic's ancestor directly under the root as ``top_topic``.
+
+    A tree of any depth takes a number of rounds that is the logarithm of its depth. A topic outside the tree, or the root
+    itself, is an error, is dropped, or gets null; so is one whose parents go in a circle. The error names a topic of the
+    circle, or the ancestor without a parent.
+    """
+    reached = _climb(hierarchy, root).withColumnsRenamed({"node": topic, "up": "_up", "end": "_end"})
+    reached = reached.select(topic, "_up", F.coalesce("_end", F.lit("circle")).alias("_end"))
+    if on_missing == "drop":
+        return topics.join(reached.where("_end = 'root'"), topic).withColumnRenamed("_up", "top_topic").drop("_end")
+    why = F.when(F.col("_end") == "circle", F.concat(F.lit(", its parents go in a circle through "), "_up"))
+    why = why.when(F.col("_end") == "missing", F.concat(F.lit(", no parent of "), F.coalesce("_up", F.lit("it"))))
+    what = F.concat(F.col(topic).cast("string"), F.coalesce(why, F.lit("")))
+    found = missing_or(F.when(F.col("_end") == "root", F.col("_up")), on_missing, what, "no topic under the root above")
+    return topics.join(reached, topic, "left").withColumn("top_topic", found).drop("_up", "_end")
+
+
+def tree_faults(hierarchy: DataFrame, root: str = "Root") -> DataFrame:
+    """Nodes of a hierarchy that do not lead to the root: ``node``, ``fault``, ``through``.
+
+    The fault is "on a circle", "below a circle" (``through`` is the node of the circle that the parents' path comes to after as many steps as the
+    doubled pointers reach) or "no root" (``through`` is the ancestor that has no parent). A node with several parents has the last by name.
+    """
+    ends = materialize(_climb(hierarchy, root).where("end is null or end = 'missing'"), "faults")
+    circling = ends.where("end is null")
+    # A pointer that reaches further than the longest path lies on a circle, and every node of a circle has such a pointer to it.
+    circles = circling.select(F.col("up").alias("node"), F.lit("on a circle").alias("_on")).distinct()
+    on = circling.join(circles, "node", "left").select("node", F.coalesce("_on", F.lit("below a circle")).alias("fault"), F.col("up").alias("through"))
+    return on.unionByName(ends.where("end = 'missing'").select("node", F.lit("no root").alias("fault"), F.col("up").alias("through")))

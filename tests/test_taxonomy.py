@@ -117,3 +117,30 @@ def test_rollup_of_a_deep_chain(spark, monkeypatch):
     tree = spark.createDataFrame(chain, "child string, parent string")
     assert taxonomy.rollup_tree(topics, tree).first().top_topic == "n0"
     assert written == ["edges"] + ["ancestors"] * 4
+
+
+def test_tree_faults(spark):
+    rows = [("A", "Root"), ("A1", "A"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("b1", "c2"), ("b2", "b1"), ("s", "s"), ("o", "gone"), ("o2", "o"), ("n", None)]
+    tree = spark.createDataFrame(rows, "child string, parent string")
+    got = {r.node: (r.fault, r.through) for r in taxonomy.tree_faults(tree).collect()}
+    assert {n: f for n, (f, _) in got.items()} == {
+        "c1": "on a circle", "c2": "on a circle", "c3": "on a circle", "s": "on a circle",
+        "b1": "below a circle", "b2": "below a circle", "o": "no root", "o2": "no root", "n": "no root",
+    }
+    assert got["o2"][1] == "gone" and got["n"][1] is None and got["s"][1] == "s"
+    assert {got["b1"][1], got["b2"][1]} <= {"c1", "c2", "c3"}
+    assert taxonomy.tree_faults(tree.where("child in ('A', 'A1')")).count() == 0
+    assert taxonomy.tree_faults(tree.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 9])
+def test_tree_faults_of_one_circle(spark, size):
+    tree = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % size}") for i in range(size)], "child string, parent string")
+    assert {tuple(r) for r in taxonomy.tree_faults(tree).select("node", "fault").collect()} == {(f"n{i}", "on a circle") for i in range(size)}
+
+
+def test_rollup_error_names_the_circle(spark):
+    tree = spark.createDataFrame([("A", "Root"), ("B", "C"), ("C", "B"), ("D", "gone")], "child string, parent string")
+    for topic, why in (("B", "circle through [BC]"), ("D", "no parent of gone")):
+        with pytest.raises(Exception, match=f"no topic under the root above: {topic}, .*{why}"):
+            taxonomy.rollup_tree(spark.createDataFrame([(topic,)], "topic string"), tree).collect()
