@@ -89,16 +89,33 @@ def _newswire_run(spark, sf):
     return _by_split(spark, out, writers.BOW_FILES)
 
 
-def _news_run(spark, sf):
-    root, out = new_path(spark, "news-tables"), new_path(spark, "news-run")
+def _news_folder(spark, sf):
+    root = new_path(spark, "news-tables")
     table(spark, sf, "documents").select("doc_id", "text").write.parquet(f"{root}/documents")
     frames = [*taxon_tables(spark, sf), *doc_word_tables(spark, sf)]
     for name, frame in zip(("taxons", "doc_taxon", "doc_word", "words"), frames, strict=True):
         frame.write.parquet(f"{root}/{name}")
-    runs.news_run(spark, root, out, rarest=5, general=stand_ins.GENERAL, merged=stand_ins.MERGED)
+    return root
+
+
+def _news_run(spark, sf):
+    out = new_path(spark, "news-run")
+    runs.news_run(spark, _news_folder(spark, sf), out, rarest=5, general=stand_ins.GENERAL, merged=stand_ins.MERGED)
     return _by_split(spark, out, corpora.TAXON_BOW_FILES)
 
 
+def _news_run_halves(spark, sf):
+    """Two runs over tables that are in buckets by document: labelled documents kept together, and split in halves."""
+    tables = runs.news_tables(spark, _news_folder(spark, sf))
+    whole, halves = new_path(spark, "news-run"), new_path(spark, "news-run")
+    options = {"rarest": 5, "general": stand_ins.GENERAL, "merged": stand_ins.MERGED}
+    runs.news_run(spark, tables, whole, **options)
+    runs.news_run(spark, tables, halves, train_test=(1, 1), **options)
+    return _by_split(spark, whole, corpora.TAXON_BOW_FILES).unionByName(
+        _by_split(spark, halves, {k: v for k, v in corpora.TAXON_SPLIT_BOW_FILES.items() if k != "unsup"})
+    )
+
+
 def _zero_based_file(spark, sf):
     path = f"{new_path(spark, 'zero-based')}/labeledBow.feat"
     docs = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("label"), "text")
@@ -147,6 +164,12 @@ QUERIES = {
         _news_run,
         f"WITH {stand_ins._NEWS}, d AS (SELECT * FROM parted) SELECT split, {_BY_ID}, line FROM ({line_sql(False, 0)})",
     ),
+    "news_run_halves": (
+        _news_run_halves,
+        f"""WITH {stand_ins._NEWS}, d AS (SELECT doc_id, label, split FROM parted
+                UNION ALL SELECT doc_id, label, split FROM ({stand_ins._HALVED}) WHERE split <> 'unsup')
+            SELECT split, {_BY_ID}, line FROM ({line_sql(False, 0)})""",
+    ),
     "zero_based_file": (
         _zero_based_file,
         f"""WITH tf AS ({_TF}), ids AS (SELECT term, row_number() OVER (ORDER BY sum(tf) DESC, term) - 1 AS word_id FROM tf GROUP BY term),

@@ -13,7 +13,7 @@ from corpusloom.operators.corpus import number_written, select_categories, with_
 from corpusloom.operators.taxonomy import top_topics
 from corpusloom.plans import corpora
 from corpusloom.sinks import publish, writers
-from corpusloom.sources import readers
+from corpusloom.sources import matrices, readers
 
 # Names of the extra output files.
 IDS_FILE = "docids"
@@ -144,13 +144,25 @@ def newswire_run(
     stages.done()
 
 
-def news_run(spark: SparkSession, tables: str, out: str, train_test: tuple[int, int] | None = None, **options: object) -> None:
-    """``tables`` holds the Parquet tables documents, taxons, doc_taxon, doc_word and words; ``options`` go to ``news_corpus``."""
-    docs, *matrices = (
-        spark.read.parquet(f"{tables.rstrip('/')}/{name}")
-        for name in ("documents", "taxons", "doc_taxon", "doc_word", "words")
-    )
-    made = corpora.news_corpus(docs, *matrices, train_test=train_test, **options)
+NEWS_TABLES = ("documents", "taxons", "doc_taxon", "doc_word", "words")
+
+
+def news_tables(spark: SparkSession, folder: str, buckets: int | None = None) -> dict[str, DataFrame]:
+    """The Parquet tables of a folder, those by document (but for the text) written once in buckets, for any number of runs."""
+    found = {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in NEWS_TABLES}
+    return found | {name: matrices.by_document(found[name], name, buckets) for name in ("doc_taxon", "doc_word")}
+
+
+def news_run(
+    spark: SparkSession, tables: str | Mapping[str, DataFrame], out: str, train_test: tuple[int, int] | None = None, **options: object
+) -> None:
+    """``tables`` is a folder of the Parquet tables documents, taxons, doc_taxon, doc_word and words, or these tables by name.
+
+    Several runs over the same tables read them best from ``news_tables``. ``options`` go to ``news_corpus``.
+    """
+    given = tables if isinstance(tables, Mapping) else {n: spark.read.parquet(f"{tables.rstrip('/')}/{n}") for n in NEWS_TABLES}
+    docs, *others = (given[name] for name in NEWS_TABLES)
+    made = corpora.news_corpus(docs, *others, train_test=train_test, **options)
     made.write(out)
     with publish.staging(spark, out, [BODIES]) as staged:
         writers.write_bodies(made.bodies(docs.select("doc_id", "text")), f"{staged}/{BODIES}")
