@@ -9,7 +9,7 @@ from corpusloom.catalog.common import (
 )
 from corpusloom.functions.labels import category_label, svmlight_line
 from corpusloom.functions.text import ENGLISH_STOP_WORDS, UNICODE_TOKEN
-from corpusloom.operators import bow
+from corpusloom.operators import bow, vectors
 from corpusloom.operators.ordering import ordered_positions
 from corpusloom.session import materialize
 
@@ -36,6 +36,14 @@ def _bow_packed(spark, sf):
     return bow.pack_bow(docs.select("doc_id"), _bow_long(spark, sf)).select("doc_id", feature_text().alias("features"))
 
 
+def _bow_vectors(spark, sf):
+    """ML vectors read back from the form they print in: size, word ids, counts."""
+    made = vectors.term_vectors(_docs(spark, sf), _vocab(spark, sf))
+    part = lambda i: F.split(F.regexp_extract(F.col("vector").cast("string"), r"^\(\d+,\[(.*)\],\[(.*)\]\)$", i), ",")
+    entry = F.zip_with(part(1), part(2), lambda i, n: F.when(i != "", F.concat(i, F.lit(":"), n.cast("double").cast("long"))))
+    return made.select("doc_id", F.array_join(entry, " ").alias("features"))
+
+
 def _lines(spark, sf, base):
     docs = _docs(spark, sf)
     label = F.when(F.col("split") != "unsup", category_label("category", LABEL_ORDER))
@@ -128,6 +136,12 @@ QUERIES = {
             (SELECT doc_id, string_agg(concat(word_id, ':', tf), ' ' ORDER BY word_id) AS f FROM bow GROUP BY doc_id)
             USING (doc_id)""",
     ),
+    "bow_vectors": (
+        _bow_vectors,
+        f"""WITH {_BAG} SELECT doc_id, coalesce(f, '') AS features FROM d LEFT JOIN
+            (SELECT doc_id, string_agg(concat(word_id, ':', tf), ' ' ORDER BY word_id) AS f FROM bow GROUP BY doc_id)
+            USING (doc_id)""",
+    ),
     "svmlight_lines": (lambda spark, sf: _lines(spark, sf, 1), f"WITH {_BAG} {line_sql(False)}"),
     "reindex_words": (
         _reindex,

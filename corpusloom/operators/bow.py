@@ -121,7 +121,8 @@ def fit_vocab(
     return number_terms(term_totals(terms, order_scope, split))
 
 
-def _bytes(table: DataFrame, key: str) -> int:
+def measured_bytes(table: DataFrame, key: str) -> int:
+    """What a broadcast of the table, by this key, takes."""
     size = F.octet_length(F.col(key).cast("string")) + ROW_BYTES
     return table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
@@ -131,7 +132,7 @@ def _frequent(rows: DataFrame, key: str, broadcast_bytes: int, head_terms: int)
     least = max(rows.count() / max(head_terms, 1), 1)
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") >= least) & F.lit(head_terms > 0))
     counts = materialize(counts, "frequent")
-    while _bytes(head := counts.where(F.col("_rows") >= least), key) > broadcast_bytes:
+    while measured_bytes(head := counts.where(F.col("_rows") >= least), key) > broadcast_bytes:
         least *= 2
     return head.select(key)
 
@@ -162,7 +163,7 @@ def match(
     that a Bloom filter of the table does not hold have no match and stay where they lie, too. The others are shuffled by
     key, none of them a hot one.
     """
-    if _bytes(table, key) <= broadcast_bytes:
+    if measured_bytes(table, key) <= broadcast_bytes:
         return rows.join(F.broadcast(table), key, how)
     rows = materialize(rows, "keyed_rows")
     frequent = _frequent(rows.where(F.col(key).isNotNull()), key, broadcast_bytes, head_terms)
@@ -214,7 +215,7 @@ def bag_of_counts(
     """
     vocab = vocab.select("term", "word_id")
     narrow = docs.select(*keys, *carry, counts)
-    if _bytes(vocab, "term") <= broadcast_bytes:
+    if measured_bytes(vocab, "term") <= broadcast_bytes:
         terms = narrow.repartition(*keys).select(*keys, *carry, F.inline_outer(counts))
         matched = terms.join(F.broadcast(vocab), "term", "left")
     else:

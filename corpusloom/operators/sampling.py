@@ -29,7 +29,8 @@ def sample_per_category(
     order = Order(tuple(keys), seed, "samp")
     same = F.col(category).eqNullSafe(F.col("_of"))
     of = lambda frame: frame.withColumnsRenamed({category: "_of", "_bucket": "_in"})
-    hashed = hash_buckets(df, order, [category])
+    # Read and hashed once, then kept as narrow rows: the input may be costly to read, and each of the two steps below reads them.
+    hashed = materialize(hash_buckets(df, order, [category]), "sample_keys")
     last = (F.col("_start") < limit) & (F.col("_start") + F.col("_n") >= limit)
     reached = materialize(
         bucket_spans(hashed, [category])

@@ -4,10 +4,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import splits
+from corpusloom.operators import sampling, splits
 from corpusloom.operators.corpus import assign_doc_ids, complement_categories, label_categories
 from corpusloom.operators.ordering import Order, bucket_spans, hash_buckets, ordered_positions, shuffle_key, with_position
 from corpusloom.operators.sampling import sample_per_category
+from corpusloom.session import materialize
 from tests.plans import plan, shuffles
 
 
@@ -158,3 +159,12 @@ def test_unknown_categories_are_errors(spark):
     for call in (label_categories, complement_categories):
         with pytest.raises(ValueError, match="not in the known categories: z"):
             call(rows, ["a", "z"], ["a", "b"])
+
+
+def test_sample_reads_its_input_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(sampling, "materialize", lambda df, name: written.append((name, plan(df))) or materialize(df, name))
+    rows = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(300)], "doc_id long, category string")
+    assert sampling.sample_per_category(rows, "category", 20).groupBy("category").count().collect()[0]["count"] == 20
+    assert [name for name, _ in written] == ["sample_keys", "sample_buckets", "sample_cuts"]
+    assert all("Scan ExistingRDD" not in p and "LocalTableScan" not in p for _, p in written[1:])
