@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import materialize, new_path
 
 SLICE_BYTES = 4 << 20  # text that a task works on at once, unless one document is longer
 
@@ -18,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder, with its scheme: Spark's default store need not be the one that ``pyarrow.fs`` takes a bare path for."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, name))
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/+", "file:///", whole)
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let a batch that goes to Python hold ``rows`` rows at most, for the session: whole texts are heavy."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"

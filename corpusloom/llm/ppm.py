@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_words, remainder, slices, text_array
-from corpusloom.session import materialize, new_path
+from corpusloom.llm.common import ascii_words, remainder, shared_path, slices, text_array
+from corpusloom.session import materialize
 
 ORDER = 5
 FOLDS, HELD_OUT = 7, 2
@@ -216,40 +216,47 @@ class Trie:
         return out
 
 
-def _read(path: str, shard: int, columns: list[str]) -> list[np.ndarray]:
-    """Columns of one shard."""
-    files, place = pyarrow.fs.FileSystem.from_uri(path)
-    folder = f"{place}/shard={shard}"
-    if files.get_file_info(folder).type == pyarrow.fs.FileType.NotFound:
+Files = tuple[str, ...]  # of a shard that was written; none if it has no rows
+
+
+def _read(shard: Files, columns: list[str]) -> list[np.ndarray]:
+    """Columns of one shard; a file that is not there is an error."""
+    if not shard:
         return [np.empty(0, np.int64), *[np.empty(0)] * (len(columns) - 1)]
+    files, _ = pyarrow.fs.FileSystem.from_uri(shard[0])
+    places = [pyarrow.fs.FileSystem.from_uri(file)[1] for file in shard]
     arrays = []
     for name in columns:  # one by one, so that no more than one is held twice
-        arrays.append(np.array(pq.read_table(folder, filesystem=files, columns=[name], partitioning=None, use_threads=False).column(0)))
+        arrays.append(np.array(pq.read_table(places, filesystem=files, columns=[name], partitioning=None, use_threads=False).column(0)))
         pa.default_memory_pool().release_unused()
     return arrays
 
 
-_held: dict[tuple[str, int], Trie] = {}  # the one shard that a worker holds
+_held: dict[Files, Trie] = {}  # the one shard that a worker holds
 
 
-def _trie_shard(path: str, shard: int) -> Trie:
-    if (path, shard) not in _held:
+def _trie_shard(shard: Files) -> Trie:
+    if shard not in _held:
         _held.clear()
-        _held[path, shard] = Trie(*_read(path, shard, ["key", "a", "b", "c"]))
-    return _held[path, shard]
+        _held[shard] = Trie(*_read(shard, ["key", "a", "b", "c"]))
+    return _held[shard]
 
 
 @lru_cache(maxsize=4)
-def _word_shard(path: str, shard: int) -> list[np.ndarray]:
-    keys, n = _read(path, shard, ["key", "n"])
+def _word_shard(shard: Files) -> list[np.ndarray]:
+    keys, n = _read(shard, ["key", "n"])
     order = np.argsort(keys)
     return [keys[order], n[order]]
 
 
-def _write_shards(rows: DataFrame, name: str) -> str:
-    path = new_path(rows.sparkSession, name)
+def _write_shards(rows: DataFrame, n_shards: int, name: str) -> list[Files]:
+    """The files of every shard: what is read later must be what was written."""
+    path = shared_path(rows.sparkSession, name)
     rows.repartition("shard").write.partitionBy("shard").parquet(path)
-    return path
+    shards: list[list[str]] = [[] for _ in range(n_shards)]
+    for file in sorted(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles()):
+        shards[int(file.rsplit("/shard=", 1)[1].partition("/")[0])].append(file)
+    return [tuple(files) for files in shards]
 
 
 class Model:
@@ -277,7 +284,7 @@ class Model:
         places = F.split(F.lit(",".join(map(str, self.shard_of.tolist()))), ",").cast("array<int>")
         every = F.sequence(F.lit(0), F.lit(self.n_shards - 1))
         shards = F.when(F.col("suffix").isNull(), every).otherwise(F.array(F.get(places, F.col("suffix").cast("int"))))
-        self.trie_path = _write_shards(rows.select("key", "a", "b", "c", F.explode(shards).alias("shard")), "ppm-shards")
+        self.trie_shards = _write_shards(rows.select("key", "a", "b", "c", F.explode(shards).alias("shard")), self.n_shards, "ppm-shards")
         kinds = rows.where((tag == 1)).count()
         self.unseen = -float(np.log10(max(ALPHABET - kinds, 1)))
         words = partial.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
@@ -286,14 +293,14 @@ class Model:
         self.texts = partial.where("gram is null and word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         self.tokens = of_words + self.texts
         self.kinds = self.n_words + (self.texts > 0)
-        self.word_shards = max(1, -(-self.n_words // WORD_ROWS))
-        self.word_path = _write_shards(words.withColumn("shard", F.pmod(F.col("key"), F.lit(self.word_shards)).cast("int")), "ppm-word-shards")
+        n_shards = max(1, -(-self.n_words // WORD_ROWS))
+        self.word_shards = _write_shards(words.withColumn("shard", F.pmod(F.col("key"), F.lit(n_shards)).cast("int")), n_shards, "ppm-word-shards")
 
     def scores(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """Log10 probability of every text, its end included, of several slices: one shard after the other sees them all."""
         totals = [np.zeros(len(starts)) for _, starts in parts]
         for one in range(self.n_shards):
-            trie = _trie_shard(self.trie_path, one)
+            trie = _trie_shard(self.trie_shards[one])
             for (data, starts), total in zip(parts, totals, strict=True):
                 for begin in range(ORDER, len(data), CHUNK):
                     end = min(len(data), begin + CHUNK)
@@ -311,8 +318,8 @@ class Model:
         hashes = [xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
         keys = np.array(hashes, dtype=np.uint64).view(np.int64)
         count = np.zeros(len(keys), dtype=np.int64)
-        for shard in range(self.word_shards):
-            known, n = _word_shard(self.word_path, shard)
+        for shard in self.word_shards:
+            known, n = _word_shard(shard)
             if len(known) and len(keys):
                 at = np.minimum(known.searchsorted(keys), len(known) - 1)
                 count += np.where(known[at] == keys, n[at], 0).astype(np.int64)

@@ -24,8 +24,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices
-from corpusloom.session import materialize, new_path
+from corpusloom.llm.common import shared_path, slices
+from corpusloom.session import materialize
 
 MIN_REVISIT_BYTES = 0  # smaller payloads are always responses
 FILE_BYTES = 1 << 30  # an archive this large is closed
@@ -118,7 +118,7 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Data
     revisits = equal.join(firsts, "sha").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
     revisits = materialize(revisits.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first_id").distinct(), "revisits")
     typed = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
-    folder = new_path(pages.sparkSession, "warc")
+    folder = shared_path(pages.sparkSession, "warc")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = _open(folder)
@@ -164,7 +164,7 @@ def build_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
 
     Ranges of (key, id) balance the files even if one host or URL holds most captures.
     """
-    folder = new_path(captures.sparkSession, "capture-index")
+    folder = shared_path(captures.sparkSession, "capture-index")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = _open(folder)
