@@ -28,6 +28,7 @@ SEED = 42
 RADIUS = 3
 CHUNK = 200_000  # shingles hashed at once
 LOW, MID = 21, 42  # parts: bits 0-20, 21-41, 42-63
+FREQUENT = 10_000  # fingerprints of more than one row in so many meet their rows by broadcast, so at most so many do
 SMALL = 12  # buckets of up to so many members are verified side by side
 
 
@@ -170,7 +171,9 @@ def links(fps: DataFrame) -> DataFrame:
             kept += _verify(keys, fps)
         yield from out(kept)
 
-    variants = fps.select(F.explode(_balls(F.col("fp"))).alias("key"), "fp")
+    # Few bytes become many rows here: spread them by number, as their size alone would not.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = fps.repartition(parts, "fp").select(F.explode(_balls(F.col("fp"))).alias("key"), "fp")
     sorted_buckets = variants.repartition("key").sortWithinPartitions("key")
     return sorted_buckets.mapInArrow(work, "a long, b long").distinct()
 
@@ -178,17 +181,21 @@ def links(fps: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fp``, ``component`` (one of its fingerprints), ``component_id`` (its smallest id)."""
     prints = fingerprints(docs, doc_id, text)
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     component = connected_components(links(classes.select("fp")), "a", "b")
     joined = component.withColumnRenamed("node", "fp").join(classes, "fp")
     first = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = component.withColumnRenamed("node", "fp").join(first, "component").select("fp", "component", "component_id")
     of_class = classes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id")
+        "fp", "n", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id")
     )
-    # Written, so that the last join stands alone and the many copies of one text can be split among tasks.
     of_class = materialize(of_class, "simhash-classes")
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component", "component_id")
+    # The rows of a frequent fingerprint stay where they lie; none of the others is a hot key.
+    frequent = F.col("n") > F.greatest(F.lit(classes.agg(F.sum("n")).first()[0] or 0) / FREQUENT, F.lit(1))
+    common = F.broadcast(of_class.where(frequent))
+    near = prints.join(common, "fp")
+    rest = prints.join(F.broadcast(of_class.where(frequent).select("fp")), "fp", "left_anti").join(of_class.where(~frequent), "fp")
+    return near.unionByName(rest).select("doc_id", "fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
