@@ -18,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#$%&*|!+=<>~^]"
 WEIGHTS = (1, 2, 3)  # of the sources in code point order, repeating
 MOST_EPOCHS = 3
-BUCKETS = 4096
+PER_OCTAVE = 256  # buckets for each doubling of the key
+LEAST_KEY = 2.0**-60  # below every key: the smallest is 2^-53
 SEED = 7
 
 
@@ -36,7 +37,10 @@ def text_weight(text: Column) -> Column:
 def measure(
     docs: DataFrame, weight: Column | None = None, doc_id: str = "doc_id", text: str = "text", seed: int = SEED
 ) -> DataFrame:
-    """``docs`` with ``_size`` (words), ``_key`` (exponential variate over weight), ``_bucket`` (its place in 0..4095).
+    """``docs`` with ``_size`` (words), ``_key`` (exponential variate over weight), ``_bucket``.
+
+    A bucket is a stretch of the key's logarithm. An exponential variate of any rate, or of rates that differ by row, has at most
+    ln 2 / (256 e), 0.1 percent, of its values in one of them, so no weights crowd the rows of a source into few buckets.
 
     Weights lie in (0, 1]; a null or smaller one counts as 1e-9 and so comes last.
     """
@@ -44,7 +48,7 @@ def measure(
     digits = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 13)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     key = -F.log(uniform) / F.greatest(F.coalesce(weight, F.lit(1e-9)), F.lit(1e-9))
-    bucket = F.least(F.floor(BUCKETS * (1 - F.exp(-F.col("_key")))), F.lit(BUCKETS - 1)).cast("int")
+    bucket = F.floor(PER_OCTAVE * F.log2(F.greatest(F.col("_key"), F.lit(LEAST_KEY)) / LEAST_KEY)).cast("int")
     return docs.withColumns({"_size": word_count(F.col(text)), "_key": key}).withColumn("_bucket", bucket)
 
 
@@ -96,10 +100,12 @@ def plan(measured: DataFrame, doc_id: str = "doc_id", source: str = "source") ->
         .select("_of", "_cut.*")
     )
     cuts = materialize(cuts.withColumnRenamed("_bucket", "_cut_bucket"), "mix-cuts")
+    # Rows that repeat an id share a key: those of one size, too, are one step of the order, however many they are.
     ranked = rows.join(cuts, same & (F.col("_bucket") == F.col("_cut_bucket")))
+    ranked = ranked.groupBy("_of", "_start", "_rest", "_key", "_tie", "_size").agg(F.sum("_size").alias("_words"))
     order = Window.partitionBy("_of").orderBy("_key", "_tie", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = (
-        ranked.withColumn("_before", F.col("_start") + F.sum("_size").over(order) - F.col("_size"))
+        ranked.withColumn("_before", F.col("_start") + F.sum("_words").over(order) - F.col("_words"))
         .where(2 * F.col("_before") + F.col("_size") <= 2 * F.col("_rest"))
         .groupBy("_of")
         .agg(F.max(F.struct("_key", "_tie", "_size")).alias("_last"))
