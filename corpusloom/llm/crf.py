@@ -12,14 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import remainder, slices, text_array
+from corpusloom.session import materialize
 
 TRAIN_DOCS = 4000  # labelled documents the model is fitted on, those with the smallest hashes
-TRAIN_LINES = 64  # of a longer document so many lines in a row are learnt from; it is scored whole like all others
+TRAIN_LINES = 200_000  # lines of them: a document is learnt from, whole, if those of smaller hashes have fewer
+SEQUENCE = 256  # lines that a step of the fit walks through; a longer text is learnt as several sequences side by side
 FOLDS = 5
 THRESHOLD = 0.3
 STEPS = 150
@@ -155,19 +157,24 @@ def document_means(good: np.ndarray, length: np.ndarray, first: np.ndarray) -> n
 
 
 def train(core: np.ndarray, length: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> Model:
-    """Maximum likelihood with a small ridge, by Adam over the whole sample; then the logistic step."""
+    """Maximum likelihood with a small ridge, by Adam over the whole sample; then the logistic step.
+
+    A text of more than ``SEQUENCE`` lines counts as several sequences: all its lines with their neighbours' features, and all
+    its transitions but those between sequences. The logistic step sees it as one.
+    """
     if len(labels) == 0 or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
     x, y = with_neighbours(core, first), np.repeat(labels, np.diff(first))
+    cuts = np.concatenate([np.arange(a, b, SEQUENCE) for a, b in zip(first[:-1], first[1:], strict=True)] + [first[-1:]])
     inner = np.ones(len(y), dtype=bool)
-    inner[first[:-1]] = False
+    inner[cuts[:-1]] = False
     at = np.flatnonzero(inner)
     observed = np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2)
     weights = np.zeros(N_FEATURES + 4)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, steps + 1):
-        good, expected, _ = forward_backward(x @ weights[:-4], weights[-4:].reshape(2, 2), first)
+        good, expected, _ = forward_backward(x @ weights[:-4], weights[-4:].reshape(2, 2), cuts)
         slope = np.concatenate((x.T @ (good - y), (expected - observed).ravel())) / len(labels) + 1e-3 * weights
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         weights -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -185,9 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, train_docs: int
     """Fit on at most ``train_docs`` labelled documents outside the held-out fold (crc32 of the id modulo ``folds`` is 0).
 
     Of the documents with a label of 0 or 1, those with the smallest hashes are drawn, so the sample is the same on
-    every run and smaller than ``train_docs`` only if there are no more. What comes to the driver are the line features
-    of one row per document, at most ``TRAIN_LINES`` lines of each, from a line on that the id's hash gives. A document
-    labelled twice counts with the smaller label, one with several texts with the one of the smallest hash.
+    every run and smaller than ``train_docs`` only if there are no more, or if they have more than ``TRAIN_LINES`` lines. What
+    comes to the driver are their lines' features. A document is learnt from whole, the one that reaches that bound too. One that
+    is labelled twice counts with the smaller label, one with several texts with the one of the smallest hash.
     Labels that leave nothing to learn from, though there are documents, are an error; without labels or documents
     all scores are 0.5.
     """
@@ -199,10 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, train_docs: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             core, length, first = line_features(text_array(part.column("text")))
-            n_lines = np.diff(first)
-            start = first[:-1] + part.column("_h").to_numpy() % np.maximum(1, n_lines - TRAIN_LINES + 1)
-            end = start + np.minimum(n_lines, TRAIN_LINES)
-            spans = [slice(a, b) for a, b in zip(start, end, strict=True)]
+            spans = [slice(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
             rows = [core[span].astype(np.float32).ravel() for span in spans]
             sizes = [length[span].astype(np.int64) for span in spans]
             yield pa.RecordBatch.from_arrays(
@@ -213,7 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, train_docs: int
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(sample, F.col("doc_id") == F.col("_id")).groupBy("_id", "_quality", "_h")
     one = joined.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row")).select("_id", "_quality", "_h", "row.text")
-    drawn = one.mapInArrow(work, "id long, quality int, core array<float>, length array<long>").toPandas().sort_values("id")
+    one = materialize(one, "quality-sample")  # at most train_docs texts
+    so_far = F.sum(F.regexp_count("text", F.lit("\n")) + 1).over(Window.orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1))
+    fits = one.select("_id", so_far.alias("before")).where(F.coalesce("before", F.lit(0)) < TRAIN_LINES)
+    one = one.join(F.broadcast(fits), "_id")
+    drawn = one.select("_id", "_quality", "text").mapInArrow(work, "id long, quality int, core array<float>, length array<long>").toPandas().sort_values("id")
     if drawn["quality"].nunique() < 2 and not (labels.isEmpty() or docs.isEmpty()):
         raise ValueError(f"documents of both labels are needed to learn from; {len(drawn)} documents have labels {drawn['quality'].unique()}")
     if drawn.empty:
