@@ -6,14 +6,17 @@ byte shorter, where the followers of the longer one are excluded. Shorter contex
 ones a byte followed, as if it had been counted only where it was new. Below the empty context all bytes not yet
 seen are equally likely.
 
-The trie is written as tables, cut into shards by the two latest bytes of the context. Tasks read the shards
-they need one at a time, so no task and not the driver ever holds a model that grows with the corpus.
+The trie is written as tables and cut into shards: ranges of contexts read backwards, latest byte first, so that a context lies
+beside the longer ones that end in it. Texts ask in groups: every distinct n-gram and word of a group goes once to the
+shard that holds it, with the texts it stands in, and sums by text come back. A task reads the one shard it answers for,
+once, and tasks are as many as the texts fill: what is read grows with the texts, whatever the size of the model. N-grams
+that make up at least 1/1,000,000 of the training texts, at most a million, are looked up where the texts lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,8 @@ import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ascii_words, remainder, shared_path, slices, text_array
@@ -31,11 +35,16 @@ ORDER = 5
 FOLDS, HELD_OUT = 7, 2
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never uses: before the start, and the end of a text
 ALPHABET = 256
-SHARD_ROWS = 2_000_000  # of the trie in a shard, unless one pair of latest bytes has more: contexts ending in it, so a small part
+SHARD_ROWS = 2_000_000  # of the trie in a shard, and the rows of shorter contexts that all ranges below them share
 WORD_ROWS = 2_000_000
+HOT_ROWS = 1_000_000  # n-grams at most that tasks hold beside their texts
+HOT_FILES = 8
 SLICE = 4 << 20
-CHUNK = 1 << 18
-GROUP = 16 << 20  # text scored with one shard before the next is read
+GROUP = 4 << 20  # bytes of text that ask together, unless one is longer
+MOST_TEXTS = 1 << 16  # in a group, whose texts are numbered in two bytes
+ENTRIES = 1 << 15  # pairs of a key and a text in a row
+ROWS_AT_ONCE = 16  # that are looked up together
+CELL_TEXT = 8 << 20  # bytes of text whose n-grams a task answers; words of four times as much
 HELD_ROWS = 1_000_000  # distinct n-grams that a task sums up before it passes them on
 CONTEXT = 0x40  # tag of context rows
 SEED = 42
@@ -59,8 +68,25 @@ def grams(data: np.ndarray, begin: int, end: int) -> np.ndarray:
     return keys
 
 
-def _inner(data: np.ndarray, begin: int, end: int) -> np.ndarray:
-    return begin + np.flatnonzero(data[begin:end] != PAD)
+def backward_grams(data: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """As ``grams``, with the context's latest byte first."""
+    keys = np.zeros(end - begin, dtype=np.int64)
+    for back in range(1, ORDER + 1):
+        keys = (keys << 8) | data[begin - back : end - back]
+    return (keys << 8) | data[begin:end]
+
+
+def backward(context: np.ndarray) -> np.ndarray:
+    """The bytes of contexts of ``ORDER`` bytes in the opposite order."""
+    out = np.zeros_like(context)
+    for back in range(ORDER):
+        out = (out << 8) | ((context >> 8 * back) & 0xFF)
+    return out
+
+
+def forward_grams(keys: np.ndarray) -> np.ndarray:
+    """What ``grams`` gives, from what ``backward_grams`` gives."""
+    return (backward(keys >> 8) << 8) | (keys & 0xFF)
 
 
 def _sum_equal(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,61 +258,71 @@ def _read(shard: Files, columns: list[str]) -> list[np.ndarray]:
     return arrays
 
 
-_held: dict[Files, Trie] = {}  # the one shard that a worker holds
+_held: dict[str, tuple[Files, Trie]] = {}  # per kind the one table that a worker holds
 
 
-def _trie_shard(shard: Files) -> Trie:
-    if shard not in _held:
-        _held.clear()
-        _held[shard] = Trie(*_read(shard, ["key", "a", "b", "c"]))
-    return _held[shard]
+def _table(kind: str, shard: Files, columns: list[str]) -> Trie:
+    if _held.get(kind, (None,))[0] != shard:
+        _held.pop(kind, None)
+        _held[kind] = shard, Trie(*_read(shard, columns))
+    return _held[kind][1]
 
 
-@lru_cache(maxsize=4)
-def _word_shard(shard: Files) -> list[np.ndarray]:
-    keys, n = _read(shard, ["key", "n"])
-    order = np.argsort(keys)
-    return [keys[order], n[order]]
-
-
-def _write_shards(rows: DataFrame, n_shards: int, name: str) -> list[Files]:
-    """The files of every shard: what is read later must be what was written."""
+def _write_shards(rows: DataFrame, n_shards: int, name: str, files: int | None = None) -> list[Files]:
+    """The files of every shard, one each unless a number is given: what is read later must be what was written."""
     path = shared_path(rows.sparkSession, name)
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+    spread = rows.repartition(files) if files else rows.repartition("shard")
+    spread.write.partitionBy("shard").parquet(path)
     shards: list[list[str]] = [[] for _ in range(n_shards)]
     for file in sorted(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles()):
         shards[int(file.rsplit("/shard=", 1)[1].partition("/")[0])].append(file)
     return [tuple(files) for files in shards]
 
 
+def _placed(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """Trie rows with the shards whose range of backward contexts theirs meets: a shorter context's may meet several."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            tag = key >> 56
+            of_context = tag >= CONTEXT
+            order = np.where(of_context, tag - CONTEXT, tag - 1)
+            low = backward(np.where(of_context, key, key >> 8) & ((1 << 8 * order) - 1))
+            first = np.searchsorted(bounds, low, side="right")
+            times = np.searchsorted(bounds, low | ((1 << 8 * (ORDER - order)) - 1), side="right") - first + 1
+            row = np.repeat(np.arange(len(key)), times)
+            shard = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            columns = [c.take(pa.array(row)) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shard, pa.int32())], ["key", "a", "b", "c", "shard"])
+
+    return rows.select("key", "a", "b", "c").mapInArrow(work, "key long, a double, b double, c double, shard int")
+
+
 class Model:
-    """Where the shards lie, and the few numbers that all tasks need."""
+    """Where the shards lie, their bounds, and the few numbers that all tasks need."""
 
     def __init__(self, docs: DataFrame) -> None:
         """Train on all texts of ``docs`` (column ``text``)."""
         partial = materialize(docs.select("text").mapInArrow(_count, "gram long, word string, n long"), "ppm-partial")
         counts = partial.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
         rows = materialize(trie(counts), "ppm-trie")
-        # Two latest bytes of the context; rows of shorter contexts go to every shard.
-        tag = F.shiftrightunsigned("key", 56)
-        suffix = F.when(tag >= CONTEXT + 2, F.col("key").bitwiseAND(F.lit(0xFFFF))).when(
-            (tag < CONTEXT) & (tag >= 3), F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-        )
-        rows = rows.withColumn("suffix", suffix)
-        self.shard_of = np.zeros(1 << 16, dtype=np.int32)
-        filled, shard = 0, 0
-        for at, n in sorted(map(tuple, rows.where("suffix is not null").groupBy("suffix").count().collect())):
-            if filled and filled + n > SHARD_ROWS:
-                filled, shard = 0, shard + 1
-            filled += n
-            self.shard_of[at] = shard
-        self.n_shards = shard + 1
-        places = F.split(F.lit(",".join(map(str, self.shard_of.tolist()))), ",").cast("array<int>")
-        every = F.sequence(F.lit(0), F.lit(self.n_shards - 1))
-        shards = F.when(F.col("suffix").isNull(), every).otherwise(F.array(F.get(places, F.col("suffix").cast("int"))))
-        self.trie_shards = _write_shards(rows.select("key", "a", "b", "c", F.explode(shards).alias("shard")), self.n_shards, "ppm-shards")
-        kinds = rows.where((tag == 1)).count()
+        tag, n = F.shiftrightunsigned("key", 56), F.pow(F.lit(10.0), "a") + 0.5
+        whole = rows.where(tag == ORDER + 1)
+        n_rows, kinds, n_symbols = rows.agg(
+            F.count(F.lit(1)), F.count_if(tag == 1), F.coalesce(F.sum(F.when(tag == ORDER + 1, n)), F.lit(0.0))
+        ).first()
         self.unseen = -float(np.log10(max(ALPHABET - kinds, 1)))
+        pieces = max(1, -(-n_rows // SHARD_ROWS))
+        context = reduce(Column.__add__, [F.shiftleft(F.shiftright("key", 8 * i + 8).bitwiseAND(F.lit(0xFF)), 8 * (ORDER - 1 - i)) for i in range(ORDER)])
+        cuts = whole.select(context.cast("double").alias("at")).approxQuantile("at", [i / pieces for i in range(1, pieces)], 0.1 / pieces) if pieces > 1 else []
+        self.bounds = np.unique(np.array(cuts, dtype=np.int64))
+        placed = _placed(rows, self.bounds)
+        self.trie_shards = _write_shards(placed, len(self.bounds) + 1, "ppm-shards")
+        is_hot = n >= max(n_symbols / HOT_ROWS, 1.0) - 0.25
+        self.hot = _write_shards(whole.where(is_hot).select("key", "b", F.lit(0).alias("shard")), 1, "ppm-hot", HOT_FILES)[0]
+        cold = dict(placed.where((tag == ORDER + 1) & ~is_hot).groupBy("shard").agg(F.sum(n)).collect())
+        self.shares = np.array([cold.get(shard, 0.0) / max(n_symbols, 1) for shard in range(len(self.trie_shards))])
         words = partial.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
         words = materialize(words.select(F.xxhash64("word").alias("key"), "n"), "ppm-words")
         self.n_words, of_words = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -296,69 +332,220 @@ class Model:
         n_shards = max(1, -(-self.n_words // WORD_ROWS))
         self.word_shards = _write_shards(words.withColumn("shard", F.pmod(F.col("key"), F.lit(n_shards)).cast("int")), n_shards, "ppm-word-shards")
 
-    def scores(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        """Log10 probability of every text, its end included, of several slices: one shard after the other sees them all."""
-        totals = [np.zeros(len(starts)) for _, starts in parts]
-        for one in range(self.n_shards):
-            trie = _trie_shard(self.trie_shards[one])
-            for (data, starts), total in zip(parts, totals, strict=True):
-                for begin in range(ORDER, len(data), CHUNK):
-                    end = min(len(data), begin + CHUNK)
-                    places = _inner(data, begin, end)
-                    keys = grams(data, begin, end)[places - begin]
-                    own = np.flatnonzero(self.shard_of[(keys >> 8) & 0xFFFF] == one)
-                    owner = np.searchsorted(starts, places[own], side="right") - 1
-                    total += np.bincount(owner, weights=trie.log_probability(keys[own], self.unseen), minlength=len(starts))
-        return totals
-
-    def base(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, known tokens and log10 probability under smoothed token counts, of every text."""
-        words, starts = ascii_words(texts)
-        coded = words.dictionary_encode()
-        hashes = [xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
-        keys = np.array(hashes, dtype=np.uint64).view(np.int64)
-        count = np.zeros(len(keys), dtype=np.int64)
-        for shard in self.word_shards:
-            known, n = _word_shard(shard)
-            if len(known) and len(keys):
-                at = np.minimum(known.searchsorted(keys), len(known) - 1)
-                count += np.where(known[at] == keys, n[at], 0).astype(np.int64)
-        whole = np.log10(self.tokens + self.kinds + 1)
-        codes = coded.indices.to_numpy()
-        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-        score = np.bincount(owner, weights=np.log10(count + 1)[codes] if len(codes) else None, minlength=len(texts))
-        known = np.bincount(owner, weights=(count > 0)[codes] if len(codes) else None, minlength=len(texts))
-        n_tokens = np.diff(starts) + 1
-        return n_tokens, known.astype(np.int64) + (self.texts > 0), score + np.log10(self.texts + 1) - n_tokens * whole
+    def cells(self, text_bytes: int) -> np.ndarray:
+        """How many tasks answer for each shard, those of the trie before those of the words."""
+        grams_asked = self.shares * text_bytes / CELL_TEXT
+        words_asked = np.full(len(self.word_shards), text_bytes / len(self.word_shards) / (4 * CELL_TEXT))
+        return np.maximum(1, np.ceil(np.concatenate((grams_asked, words_asked)))).astype(np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of ``GROUP`` bytes or less, unless one text is longer."""
+    ids, texts, size, held = [], [], 0, 0
+    for wide in slices(batches, limit=GROUP):
+        for at in range(0, len(wide), MOST_TEXTS):
+            part = wide.slice(at, MOST_TEXTS)
+            one = text_array(part.column("text"))
+            more = pc.sum(pc.binary_length(one)).as_py()
+            if texts and (size + more > GROUP or held + len(one) > MOST_TEXTS):
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                ids, texts, size, held = [], [], 0, 0
+            ids.append(part.column("doc_id").take(pa.array(np.arange(len(part)))))  # a copy: the batch need not be kept
+            texts.append(one)
+            size, held = size + more, held + len(one)
+    if texts:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1])))
+
+
+def _runs(values: np.ndarray) -> zip:
+    """Begin and end of every run of equal values."""
+    edges = np.append(_starts(values), len(values)).tolist()
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
+def _entries(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a code below 2**48 and a text, in order: codes, texts, and how often each pair occurs."""
+    pairs = (codes.view(np.uint64) << np.uint64(16)) | owner.astype(np.uint64)
+    pairs.sort()
+    at = _starts(pairs)
+    n = np.diff(np.append(at, len(pairs)))
+    pairs = pairs[at]
+    return (pairs >> np.uint64(16)).astype(np.int64), (pairs & np.uint64(0xFFFF)).astype(np.uint16), n
+
+
+PACKED = (np.int64, np.uint32, np.uint16, np.uint32)  # distinct keys, texts per key, texts, occurrences per key and text
+
+
+def _pack(keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, n: np.ndarray) -> bytes:
+    """The arrays in planes of equal bytes, which compress well."""
+    arrays = [np.ascontiguousarray(x, dtype=t) for x, t in zip((keys, sizes, owner, n), PACKED, strict=True)]
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in arrays)
+    return np.array([len(keys), len(owner)], dtype=np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(part: bytes) -> list[np.ndarray]:
+    n_keys, n_entries = map(int, np.frombuffer(part, np.int64, 2))
+    lengths = (n_keys, n_keys, n_entries, n_entries)
+    raw = pa.decompress(part[16:], decompressed_size=sum(n * np.dtype(t).itemsize for n, t in zip(lengths, PACKED, strict=True)), codec="zstd", asbytes=True)
+    arrays, at = [], 0
+    for n, kind in zip(lengths, PACKED, strict=True):
+        width = np.dtype(kind).itemsize
+        arrays.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return arrays
+
+
+TEXTS, GRAMS, WORDS = 0, 1, 2  # kinds of rows: a group's texts, and what is asked and answered about them
+ASKED = "cell int, base long, kind int, part binary, ids array<long>, tokens array<long>, sums array<double>"
+ANSWERED = "base long, kind int, ids array<long>, tokens array<long>, sums array<double>, known array<long>"
+SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_longs, _doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    names = [field.split()[0] for field in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _plus(one: np.ndarray | None, other: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of which one may be shorter."""
+    if one is None:
+        return other
+    out = np.zeros(max(len(one), len(other)), dtype=other.dtype)
+    out[: len(one)] += one
+    out[: len(other)] += other
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every row of ``docs``.
 
     ``score`` is the model's log10 probability of the lower-cased (A-Z) text's bytes and its end. Null text is empty;
-    an empty text has one token, its end. Other columns are not looked at.
+    an empty text has one token, its end. Other columns are not looked at. Groups of texts are numbered by partition, so
+    ``docs`` must come in the same partitions if a lost task is run again, as tables do.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        group: list[tuple] = []
+    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    splits = model.cells(text_bytes)
+    first_cell, n_cells = np.cumsum(splits) - splits, int(splits.sum())
+    shard_of_cell = np.repeat(np.arange(len(splits)), splits)
+    n_tries = len(model.trie_shards)
+
+    def rows_asked(kind: int, number: int, base: int, shard: np.ndarray, codes: np.ndarray, owner: np.ndarray, n: np.ndarray, table: np.ndarray | None):
+        for begin, end in _runs(shard):
+            at = shard[begin] + (n_tries if kind == WORDS else 0)
+            cell = int(first_cell[at] + number % splits[at])
+            for i in range(begin, end, ENTRIES):
+                some = slice(i, min(end, i + ENTRIES))
+                starts = _starts(codes[some])
+                keys = codes[some][starts]
+                sizes = np.diff(np.append(starts, some.stop - i))
+                yield cell, base, kind, _pack(keys if table is None else table[keys], sizes, owner[some], n[some]), None, None, None
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), _longs, _longs, _doubles]
+        base = TaskContext.get().partitionId() << 33
+        hot = _table("hot", model.hot, ["key", "b"])
+        for number, (ids, texts) in enumerate(_groups(batches), TaskContext.get().partitionId()):
+            rows, sums = [], np.zeros(len(texts))
+            data, starts = symbols(texts)
+            for begin in range(ORDER, len(data), GROUP):
+                end = min(len(data), begin + GROUP)
+                places = begin + np.flatnonzero(data[begin:end] != PAD)
+                owner = np.searchsorted(starts, places, side="right") - 1
+                codes, owner, n = _entries(backward_grams(data, begin, end)[places - begin], owner)
+                first = _starts(codes)
+                sizes = np.diff(np.append(first, len(codes)))
+                row = hot.find(((ORDER + 1) << 56) | forward_grams(codes[first]))
+                hit = row >= 0
+                value = np.zeros(len(first))
+                value[hit] = hot.values[0][row[hit]]
+                sums += np.bincount(owner, weights=np.repeat(value, sizes) * n, minlength=len(texts))
+                cold = np.repeat(~hit, sizes)
+                codes, owner, n = codes[cold], owner[cold], n[cold]
+                rows += rows_asked(GRAMS, number, base, np.searchsorted(model.bounds, codes >> 8, side="right"), codes, owner, n, None)
+            words, of_text = ascii_words(texts)
+            coded = words.dictionary_encode()
+            hashes = [xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+            keys = np.array(hashes, dtype=np.uint64).view(np.int64)
+            shard = keys % len(model.word_shards)
+            order = np.lexsort((keys, shard))
+            rank = np.empty(len(keys), dtype=np.int64)
+            rank[order] = np.arange(len(keys))
+            owner = np.repeat(np.arange(len(texts)), np.diff(of_text))
+            codes, owner, n = _entries(rank[coded.indices.to_numpy()], owner)
+            rows += rows_asked(WORDS, number, base, shard[order][codes], codes, owner, n, keys[order])
+            rows.append((number % n_cells, base, TEXTS, None, ids.to_pylist(), np.diff(of_text) + 1, sums))
+            base += len(texts)
+            yield _batch(rows, types, ASKED)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int32(), _longs, _longs, _doubles, _longs]
+        for batch in batches:
+            cell, base, kind = (batch.column(c).to_numpy() for c in ("cell", "base", "kind"))
+            own = batch.filter(pa.array(kind == TEXTS))
+            if len(own):
+                columns = [own.column(c) for c in ("base", "kind", "ids", "tokens", "sums")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(own), _longs)], ["base", "kind", "ids", "tokens", "sums", "known"])
+            asked = np.flatnonzero(kind != TEXTS)
+            for begin, end in _runs(cell[asked]):
+                shard = int(shard_of_cell[cell[asked[begin]]])
+                sums: dict[int, np.ndarray] = {}
+                known: dict[int, np.ndarray] = {}
+                for i in range(begin, end, ROWS_AT_ONCE):
+                    rows = asked[i : min(end, i + ROWS_AT_ONCE)]
+                    parts = [_unpack(batch.column("part")[int(row)].as_py()) for row in rows]
+                    keys = np.concatenate([part[0] for part in parts])
+                    if shard < n_tries:
+                        table = _table("shard", model.trie_shards[shard], ["key", "a", "b", "c"])
+                        values = table.log_probability(forward_grams(keys), model.unseen)
+                    else:
+                        table = _table("shard", model.word_shards[shard - n_tries], ["key", "n"])
+                        found = table.find(keys)
+                        values = np.where(found >= 0, np.log10(table.values[0][found] + 1), 0.0) if len(table.values[0]) else np.zeros(len(keys))
+                    at = 0
+                    for row, (own_keys, sizes, owner, n) in zip(rows, parts, strict=True):
+                        value = np.repeat(values[at : at + len(own_keys)], sizes)
+                        sums[base[row]] = _plus(sums.get(base[row]), np.bincount(owner, weights=value * n))
+                        if shard >= n_tries:
+                            known[base[row]] = _plus(known.get(base[row]), np.bincount(owner, weights=(value > 0) * n).astype(np.int64))
+                        at += len(own_keys)
+                what = GRAMS if shard < n_tries else WORDS
+                yield _batch([(b, what, None, None, total, known.get(b)) for b, total in sums.items()], types, ANSWERED)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, tokens, score, plain, known = None, None, None, None, None, None
+        whole, ends = np.log10(model.tokens + model.kinds + 1), np.log10(model.texts + 1)
 
         def out():
-            for (columns, _), total in zip(group, model.scores([data for _, data in group]), strict=True):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(total)], names)
-            group.clear()
-
-        for part in slices(batches, limit=SLICE):
-            texts = text_array(part.column("text"))
-            n_tokens, known, base = model.base(texts)
-            ids = part.column("doc_id").take(pa.array(np.arange(len(part))))  # a copy: the batch need not be kept
-            group.append(((ids, n_tokens.astype(np.int64), known, np.full(len(texts), model.tokens), base), symbols(texts)))
-            if sum(len(data) for _, (data, _) in group) >= GROUP:
-                yield from out()
-        yield from out()
-
-    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
+            arrays = [ids, tokens, known + (model.texts > 0), np.full(len(ids), model.tokens), plain + ends - tokens * whole, score]
+            names = [field.split()[0] for field in SCORED.split(", ")]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names)
+
+        for batch in batches:
+            for i, (base, kind) in enumerate(zip(batch.column("base").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                sums = batch.column("sums")[i].values.to_numpy()
+                if kind == TEXTS:
+                    if current is not None:
+                        yield out()
+                    current, ids = base, batch.column("ids")[i].values
+                    tokens, score = batch.column("tokens")[i].values.to_numpy(), sums.copy()
+                    plain, known = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
+                elif kind == GRAMS:
+                    score[: len(sums)] += sums
+                else:
+                    plain[: len(sums)] += sums
+                    known[: len(sums)] += batch.column("known")[i].values.to_numpy()
+        if current is not None:
+            yield out()
+
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ask, ASKED)
+    answered = asked.repartitionById(n_cells, "cell").mapInArrow(answer, ANSWERED)
+    return answered.repartition("base").sortWithinPartitions("base", "kind").mapInArrow(total, SCORED)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:

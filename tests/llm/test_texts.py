@@ -70,9 +70,11 @@ class Brute:
         return total
 
 
-@pytest.mark.parametrize("shard_rows", [ppm.SHARD_ROWS, 50])
-def test_ppm(spark, texts, monkeypatch, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "hot", "cell"), [(ppm.SHARD_ROWS, ppm.HOT_ROWS, ppm.CELL_TEXT), (ppm.SHARD_ROWS, 20, 2000), (50, 20, 2000)])
+def test_ppm(spark, texts, monkeypatch, shard_rows, hot, cell):
     monkeypatch.setattr(ppm, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(ppm, "HOT_ROWS", hot)
+    monkeypatch.setattr(ppm, "CELL_TEXT", cell)
     monkeypatch.setattr(ppm, "WORD_ROWS", shard_rows // 10)
     trained = [t for i, t, *_ in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
     brute, counts = Brute(trained), Counter(w for t in trained for w in words_of(lowered(t)))
@@ -240,7 +242,7 @@ def test_quality_learns(spark):
 def test_quality_draws_whole_samples(spark):
     """Long documents are learnt from, labels without a document take no place, and one label alone is an error."""
     line = {1: "It rained a little, and then it stopped.", 0: "### buy!! || now ## 50% $$$ !!"}
-    rows = [(i, "\n".join([line[i % 2]] * (crf.TRAIN_LINES + 1 + i)), "s", 0) for i in range(60)]
+    rows = [(i, "\n".join([line[i % 2]] * (crf.SEQUENCE + 1 + i)), "s", 0) for i in range(60)]
     frame = spark.createDataFrame(rows + rows[:9], SCHEMA)
     labels = [(i, i % 2, 0) for i in range(60)]
     known = spark.createDataFrame(labels + [(10_000 + i, 1, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
