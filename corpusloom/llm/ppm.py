@@ -10,7 +10,7 @@ The trie is written as tables and cut into shards: ranges of contexts read backw
 beside the longer ones that end in it. Texts ask in groups: every distinct n-gram and word of a group goes once to the
 shard that holds it, with the texts it stands in, and sums by text come back. A task reads the one shard it answers for,
 once, and tasks are as many as the texts fill: what is read grows with the texts, whatever the size of the model. N-grams
-that make up at least 1/1,000,000 of the training texts, at most a million, are looked up where the texts lie.
+and words that make up at least 1/1,000,000 of the training texts, at most a million each, are looked up where the texts lie.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never uses: before the start, and the
 ALPHABET = 256
 SHARD_ROWS = 2_000_000  # of the trie in a shard, and the rows of shorter contexts that all ranges below them share
 WORD_ROWS = 2_000_000
-HOT_ROWS = 1_000_000  # n-grams at most that tasks hold beside their texts
+HOT_ROWS = 1_000_000  # n-grams, and words, at most that tasks hold beside their texts
 HOT_FILES = 8
 SLICE = 4 << 20
 GROUP = 4 << 20  # bytes of text that ask together, unless one is longer
@@ -217,6 +217,13 @@ class Trie:
             left, slot = left[going], slot[going]
         return row
 
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The first value of the keys, 0 for those that the shard lacks."""
+        row = self.find(key)
+        out = np.zeros(len(key))
+        out[row >= 0] = self.values[0][row[row >= 0]]
+        return out
+
     def log_probability(self, keys: np.ndarray, unseen: float) -> np.ndarray:
         """Log10 of the probability of the last byte of every packed n-gram after those before it."""
         a, b, c = self.values
@@ -330,12 +337,15 @@ class Model:
         self.tokens = of_words + self.texts
         self.kinds = self.n_words + (self.texts > 0)
         n_shards = max(1, -(-self.n_words // WORD_ROWS))
+        is_hot = F.col("n") >= max(of_words / HOT_ROWS, 1.0)
+        self.hot_words = _write_shards(words.where(is_hot).withColumn("shard", F.lit(0)), 1, "ppm-hot", HOT_FILES)[0]
+        self.cold_words = words.where(~is_hot).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / max(of_words, 1)
         self.word_shards = _write_shards(words.withColumn("shard", F.pmod(F.col("key"), F.lit(n_shards)).cast("int")), n_shards, "ppm-word-shards")
 
     def cells(self, text_bytes: int) -> np.ndarray:
         """How many tasks answer for each shard, those of the trie before those of the words."""
         grams_asked = self.shares * text_bytes / CELL_TEXT
-        words_asked = np.full(len(self.word_shards), text_bytes / len(self.word_shards) / (4 * CELL_TEXT))
+        words_asked = np.full(len(self.word_shards), self.cold_words * text_bytes / len(self.word_shards) / (4 * CELL_TEXT))
         return np.maximum(1, np.ceil(np.concatenate((grams_asked, words_asked)))).astype(np.int64)
 
 
@@ -401,8 +411,8 @@ def _unpack(part: bytes) -> list[np.ndarray]:
 
 
 TEXTS, GRAMS, WORDS = 0, 1, 2  # kinds of rows: a group's texts, and what is asked and answered about them
-ASKED = "cell int, base long, kind int, part binary, ids array<long>, tokens array<long>, sums array<double>"
-ANSWERED = "base long, kind int, ids array<long>, tokens array<long>, sums array<double>, known array<long>"
+ASKED = "cell int, base long, kind int, part binary, ids array<long>, tokens array<long>, sums array<double>, plain array<double>, known array<long>"
+ANSWERED = "base long, kind int, ids array<long>, tokens array<long>, sums array<double>, plain array<double>, known array<long>"
 SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _longs, _doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
 
@@ -444,28 +454,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 starts = _starts(codes[some])
                 keys = codes[some][starts]
                 sizes = np.diff(np.append(starts, some.stop - i))
-                yield cell, base, kind, _pack(keys if table is None else table[keys], sizes, owner[some], n[some]), None, None, None
+                yield cell, base, kind, _pack(keys if table is None else table[keys], sizes, owner[some], n[some]), None, None, None, None, None
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), _longs, _longs, _doubles]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), _longs, _longs, _doubles, _doubles, _longs]
         base = TaskContext.get().partitionId() << 33
-        hot = _table("hot", model.hot, ["key", "b"])
+        hot, hot_words = _table("hot", model.hot, ["key", "b"]), _table("hot words", model.hot_words, ["key", "n"])
         for number, (ids, texts) in enumerate(_groups(batches), TaskContext.get().partitionId()):
             rows, sums = [], np.zeros(len(texts))
             data, starts = symbols(texts)
             for begin in range(ORDER, len(data), GROUP):
                 end = min(len(data), begin + GROUP)
-                places = begin + np.flatnonzero(data[begin:end] != PAD)
-                owner = np.searchsorted(starts, places, side="right") - 1
-                codes, owner, n = _entries(backward_grams(data, begin, end)[places - begin], owner)
+                inner = data[begin:end] != PAD
+                owner = np.repeat(np.arange(len(texts)), np.diff(np.clip(np.append(starts, len(data)), begin, end)))
+                codes, owner, n = _entries(backward_grams(data, begin, end)[inner], owner[inner])
                 first = _starts(codes)
                 sizes = np.diff(np.append(first, len(codes)))
-                row = hot.find(((ORDER + 1) << 56) | forward_grams(codes[first]))
-                hit = row >= 0
-                value = np.zeros(len(first))
-                value[hit] = hot.values[0][row[hit]]
+                value = hot.get(((ORDER + 1) << 56) | forward_grams(codes[first]))
                 sums += np.bincount(owner, weights=np.repeat(value, sizes) * n, minlength=len(texts))
-                cold = np.repeat(~hit, sizes)
+                cold = np.repeat(value == 0, sizes)  # a logarithm below 0 if it is hot
                 codes, owner, n = codes[cold], owner[cold], n[cold]
                 rows += rows_asked(GRAMS, number, base, np.searchsorted(model.bounds, codes >> 8, side="right"), codes, owner, n, None)
             words, of_text = ascii_words(texts)
@@ -474,23 +481,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             keys = np.array(hashes, dtype=np.uint64).view(np.int64)
             shard = keys % len(model.word_shards)
             order = np.lexsort((keys, shard))
+            keys, shard = keys[order], shard[order]
             rank = np.empty(len(keys), dtype=np.int64)
             rank[order] = np.arange(len(keys))
             owner = np.repeat(np.arange(len(texts)), np.diff(of_text))
             codes, owner, n = _entries(rank[coded.indices.to_numpy()], owner)
-            rows += rows_asked(WORDS, number, base, shard[order][codes], codes, owner, n, keys[order])
-            rows.append((number % n_cells, base, TEXTS, None, ids.to_pylist(), np.diff(of_text) + 1, sums))
+            count = hot_words.get(keys)
+            plain = np.bincount(owner, weights=np.log10(count + 1)[codes] * n, minlength=len(texts))
+            known = np.bincount(owner, weights=(count > 0)[codes] * n, minlength=len(texts)).astype(np.int64)
+            cold = (count == 0)[codes]
+            codes, owner, n = codes[cold], owner[cold], n[cold]
+            rows += rows_asked(WORDS, number, base, shard[codes], codes, owner, n, keys)
+            rows.append((number % n_cells, base, TEXTS, None, ids.to_pylist(), np.diff(of_text) + 1, sums, plain, known))
             base += len(texts)
             yield _batch(rows, types, ASKED)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int32(), _longs, _longs, _doubles, _longs]
+        types = [pa.int64(), pa.int32(), _longs, _longs, _doubles, _doubles, _longs]
         for batch in batches:
             cell, base, kind = (batch.column(c).to_numpy() for c in ("cell", "base", "kind"))
             own = batch.filter(pa.array(kind == TEXTS))
             if len(own):
-                columns = [own.column(c) for c in ("base", "kind", "ids", "tokens", "sums")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(own), _longs)], ["base", "kind", "ids", "tokens", "sums", "known"])
+                yield own.select(["base", "kind", "ids", "tokens", "sums", "plain", "known"])
             asked = np.flatnonzero(kind != TEXTS)
             for begin, end in _runs(cell[asked]):
                 shard = int(shard_of_cell[cell[asked[begin]]])
@@ -505,8 +517,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         values = table.log_probability(forward_grams(keys), model.unseen)
                     else:
                         table = _table("shard", model.word_shards[shard - n_tries], ["key", "n"])
-                        found = table.find(keys)
-                        values = np.where(found >= 0, np.log10(table.values[0][found] + 1), 0.0) if len(table.values[0]) else np.zeros(len(keys))
+                        values = np.log10(table.get(keys) + 1)
                     at = 0
                     for row, (own_keys, sizes, owner, n) in zip(rows, parts, strict=True):
                         value = np.repeat(values[at : at + len(own_keys)], sizes)
@@ -514,11 +525,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         if shard >= n_tries:
                             known[base[row]] = _plus(known.get(base[row]), np.bincount(owner, weights=(value > 0) * n).astype(np.int64))
                         at += len(own_keys)
-                what = GRAMS if shard < n_tries else WORDS
-                yield _batch([(b, what, None, None, total, known.get(b)) for b, total in sums.items()], types, ANSWERED)
+                if shard < n_tries:
+                    out = [(b, GRAMS, None, None, x, None, None) for b, x in sums.items()]
+                else:
+                    out = [(b, WORDS, None, None, None, x, known[b]) for b, x in sums.items()]
+                yield _batch(out, types, ANSWERED)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, tokens, score, plain, known = None, None, None, None, None, None
+        current = ids = tokens = score = plain = known = None
         whole, ends = np.log10(model.tokens + model.kinds + 1), np.log10(model.texts + 1)
 
         def out():
@@ -528,18 +542,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             for i, (base, kind) in enumerate(zip(batch.column("base").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
-                sums = batch.column("sums")[i].values.to_numpy()
                 if kind == TEXTS:
                     if current is not None:
                         yield out()
                     current, ids = base, batch.column("ids")[i].values
-                    tokens, score = batch.column("tokens")[i].values.to_numpy(), sums.copy()
-                    plain, known = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
-                elif kind == GRAMS:
-                    score[: len(sums)] += sums
-                else:
-                    plain[: len(sums)] += sums
-                    known[: len(sums)] += batch.column("known")[i].values.to_numpy()
+                    tokens, score, plain, known = (np.array(batch.column(c)[i].values) for c in ("tokens", "sums", "plain", "known"))
+                    continue
+                for into, name in ((score, "sums"),) if kind == GRAMS else ((plain, "plain"), (known, "known")):
+                    more = batch.column(name)[i].values.to_numpy()
+                    into[: len(more)] += more
         if current is not None:
             yield out()
 

@@ -42,7 +42,8 @@ def test_frequent_fingerprints_stay_where_they_lie(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == expected
 
 
-def test_a_lost_shard_is_an_error(spark):
+def test_a_lost_shard_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "HOT_ROWS", 5)
     docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
     model = ppm.Model(docs)
     assert ppm.score(docs, model).count() == 20
