@@ -239,6 +239,39 @@ def test_quality_learns(spark):
     assert crf.quality(frame.limit(0), known).collect() == []
 
 
+def test_document_scores_by_enumeration():
+    """A document's score is the logistic step on the mean marginal of its lines, by length, over all labellings."""
+    rng = np.random.default_rng(4)
+    model = crf.Model(rng.standard_normal(crf.N_FEATURES), rng.standard_normal((2, 2)), 1.3, -0.2)
+    texts = ["a line\n\nBUY $$$ now\nthe end.", "one", "", "x y\nx y\n|", "é\n" * 5]
+    got = model.scores(pa.array(texts, pa.large_string()))
+    for text, score in zip(texts, got, strict=True):
+        core, length, first = crf.line_features(pa.array([text], pa.large_string()))
+        odds, n = crf.with_neighbours(core, first) @ model.weights, len(core)
+        paths = np.array(list(product((0, 1), repeat=n)))
+        weight = np.array([np.exp(p @ np.clip(odds, -30, 30) + sum(model.trans[x, y] for x, y in zip(p, p[1:]))) for p in paths])
+        marginal = weight @ paths / weight.sum()
+        mean = np.clip(np.average(marginal, weights=length + 1e-6), 1e-4, 1 - 1e-4)
+        assert score == pytest.approx(1 / (1 + np.exp(-(1.3 * np.log(mean / (1 - mean)) - 0.2))))
+
+
+def test_quality_learns_from_whole_documents(spark, monkeypatch):
+    """The bound on lines leaves documents out, and cuts none."""
+    rows = [(i, "\n".join(["It rained.", "$$$ !!"][i % 2] for _ in range(10 + i)), "s", 0) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    learnt = []
+    monkeypatch.setattr(crf, "train", lambda core, length, first, labels: learnt.append(np.diff(first)))
+    for bound in (crf.TRAIN_LINES, 200, 1):
+        monkeypatch.setattr(crf, "TRAIN_LINES", bound)
+        try:
+            crf.fit(spark.createDataFrame(rows, SCHEMA), labels)
+        except ValueError:
+            assert bound == 1
+    most, some = learnt
+    assert set(some) <= set(most) <= set(range(10, 50))
+    assert some.sum() >= 200 > some.sum() - some.max()
+
+
 def test_quality_draws_whole_samples(spark):
     """Long documents are learnt from, labels without a document take no place, and one label alone is an error."""
     line = {1: "It rained a little, and then it stopped.", 0: "### buy!! || now ## 50% $$$ !!"}
