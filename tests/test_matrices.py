@@ -63,3 +63,16 @@ def test_vectors_have_a_bound(spark):
         vectors.vectorizer(vocab, most_bytes=10)
     with pytest.raises(ValueError, match="no words"):
         vectors.term_vectors(spark.createDataFrame(DOCS, "doc_id long, text string"), vocab.limit(0))
+
+
+def test_vectors_beside_a_vocabulary_beyond_the_bound(spark):
+    """A vocabulary that no task holds gives the vectors of one that fits, for rows of any key."""
+    rows = [*DOCS, (None, "emu cat cat"), (1, "dog")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("features", F.lit(7))
+    vocab = bow.fit_vocab(bow.token_rows(docs))
+    for binary in (False, True):
+        want = vectors.term_vectors(docs, vocab, binary=binary)
+        for most in (0, 60, 130):
+            got = vectors.term_vectors(docs, vocab, binary=binary, most_bytes=most)
+            assert got.schema["vector"].dataType == want.schema["vector"].dataType and got.columns == want.columns
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
