@@ -33,7 +33,7 @@ def _bow_long(spark, sf):
 
 def _bow_packed(spark, sf):
     docs = _docs(spark, sf)
-    return bow.pack_bow(docs.select("doc_id"), _bow_long(spark, sf)).select("doc_id", feature_text().alias("features"))
+    return bow.pack_bow(docs.select("doc_id"), _bow_long(spark, sf), colocate=True).select("doc_id", feature_text().alias("features"))
 
 
 def _bow_vectors(spark, sf):
@@ -66,7 +66,7 @@ def doc_word_tables(spark, sf):
     """``doc_word(doc_id, word_id, n)`` and ``words(word_id, term)``, written as given tables are."""
     tf = materialize(bow.term_frequency(table(spark, sf, "documents")), "tf")
     words = materialize(ordered_positions(tf.select("term").distinct(), ["term"], "word_id"), "words")
-    doc_word = tf.join(words, "term").select("doc_id", "word_id", F.col("tf").alias("n"))
+    doc_word = bow.match(tf, words, "term", stored=True).select("doc_id", "word_id", F.col("tf").alias("n"))
     return materialize(doc_word, "doc_word"), words
 
 
@@ -78,7 +78,7 @@ def _zero_based(spark, sf):
     docs = table(spark, sf, "documents")
     moved, _ = bow.reindex_words(*doc_word_tables(spark, sf))
     docs = docs.select("doc_id", category_label("lang", LABEL_ORDER).alias("label"))
-    rows = bow.pack_bow(docs, moved.withColumnRenamed("n", "tf"))
+    rows = bow.pack_bow(docs, moved.withColumnRenamed("n", "tf"), colocate=True)
     return rows.select("doc_id", svmlight_line("label", "features", False, 0).alias("line"))
 
 

@@ -201,3 +201,36 @@ def test_empty_documents_beside_a_large_vocabulary(spark):
     plain = features(bow.bag_of_words(docs, vocab))
     assert features(bow.bag_of_words(docs, vocab, broadcast_bytes=0, head_terms=1)) == plain
     assert sum(not f for f in plain.values()) == 100
+
+
+def test_rows_of_terms_are_dealt_as_widely_as_the_session_shuffles(spark, docs, partitions):
+    """Not into the few partitions that the bytes of their text ask for; rows of any order are moved before they are packed."""
+    tf = bow.term_frequency(docs)
+    assert tf.rdd.getNumPartitions() == partitions
+    assert sorted(map(tuple, tf.where("doc_id = 1").collect())) == [(1, "cat", 2), (1, "dog", 1), (1, "the", 1)]
+    rows = spark.createDataFrame([(1, 3, 1), (None, 2, 4), (1, 0, 1), (None, 1, 1)], "doc_id long, word_id long, tf long")
+    packed = bow.pack_bow(rows.select("doc_id").distinct(), rows, colocate=True)
+    assert features(packed) == {1: [(0, 1), (3, 1)], None: []}
+    assert "collect_list" not in plan(packed).split("REPARTITION_BY_NUM")[-1]
+
+
+def test_frequent_keys_are_as_many_as_fit(spark):
+    """Of keys that hold 1, 2, 4 ... 512 rows those of most rows, down to where the broadcast is full."""
+    rows = spark.range(10).selectExpr("explode(sequence(1, int(pow(2, id)))) AS i", "concat('k', id) AS key")
+    for fits in range(11):
+        kept = bow._frequent(rows, "key", fits * (bow.ROW_BYTES + 2), 1 << 24)
+        assert {r.key for r in kept.collect()} == {f"k{i}" for i in range(10 - fits, 10)}
+    assert {r.key for r in bow._frequent(rows, "key", 1 << 20, 4).collect()} == {"k8", "k9"}
+
+
+def test_words_beyond_a_broadcast_meet_only_rare_terms(spark):
+    """Terms of the first words, unknown ones and stop words are not written as rows; repeated and null keys are one document each."""
+    text = "concat('aa aa bb oov', id, ' rare', id, if(id % 9 = 0, ' gone', ''))"
+    docs = spark.range(200).selectExpr("if(id % 50 = 0, null, id div 2) AS doc_id", "'x' AS tag", f"if(id = 7, null, {text}) AS text")
+    counted = bow.with_counts(docs)
+    vocab = bow.fit_vocab(bow.count_rows(counted).where("term not like 'oov%' and term <> 'gone'"))
+    whole = sorted(((r.doc_id or -1, r.tag, r.features) for r in bow.bag_of_counts(counted, vocab, carry=["tag"]).collect()))
+    assert len(whole) == 101
+    for size in (0, 110, 400):
+        made = bow.bag_of_counts(counted, vocab, carry=["tag"], broadcast_bytes=size)
+        assert sorted(((r.doc_id or -1, r.tag, r.features) for r in made.collect())) == whole
