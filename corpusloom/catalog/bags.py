@@ -33,7 +33,8 @@ def _bow_long(spark, sf):
 
 def _bow_packed(spark, sf):
     docs = _docs(spark, sf)
-    return bow.pack_bow(docs.select("doc_id"), _bow_long(spark, sf), colocate=True).select("doc_id", feature_text().alias("features"))
+    packed = bow.pack_bow(docs.select("doc_id"), _bow_long(spark, sf), colocate=True, parts=bow.parts_for(docs, bow.text_rows()))
+    return packed.select("doc_id", feature_text().alias("features"))
 
 
 def _bow_vectors(spark, sf):
@@ -76,9 +77,10 @@ def _reindex(spark, sf):
 
 def _zero_based(spark, sf):
     docs = table(spark, sf, "documents")
-    moved, _ = bow.reindex_words(*doc_word_tables(spark, sf))
+    doc_word, words = doc_word_tables(spark, sf)
+    moved, _ = bow.reindex_words(doc_word, words)
     docs = docs.select("doc_id", category_label("lang", LABEL_ORDER).alias("label"))
-    rows = bow.pack_bow(docs, moved.withColumnRenamed("n", "tf"), colocate=True)
+    rows = bow.pack_bow(docs, moved.withColumnRenamed("n", "tf"), colocate=True, parts=bow.parts_for(doc_word))
     return rows.select("doc_id", svmlight_line("label", "features", False, 0).alias("line"))
 
 

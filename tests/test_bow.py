@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -234,3 +235,33 @@ def test_words_beyond_a_broadcast_meet_only_rare_terms(spark):
     for size in (0, 110, 400):
         made = bow.bag_of_counts(counted, vocab, carry=["tag"], broadcast_bytes=size)
         assert sorted(((r.doc_id or -1, r.tag, r.features) for r in made.collect())) == whole
+
+
+def test_more_rows_of_terms_make_more_tasks(spark, docs):
+    """Not the session's number whatever the input is; what is counted and packed stays the same, for null and repeated keys too."""
+    dealt = lambda df: int(re.search(r"hashpartitioning\(doc_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(df))[1])
+    text = "if(id % 9 = 0, null, concat('alpha beta alpha number', id, ' group', id % 7))"
+    docs = spark.range(800).selectExpr("if(id % 40 = 0, null, id div 2) AS doc_id", f"{text} AS text")
+    plain = bow.term_frequency(docs)
+    assert dealt(plain) == 4
+    for part in (docs, docs.where("doc_id < 200")):
+        terms = bow.term_frequency(part, task_rows=100)
+        rows = terms.count()
+        assert rows / 100 <= dealt(terms) <= rows / 50
+        assert rows / 100 <= bow.parts_for(terms, task_rows=100) < rows / 100 + 1
+    assert sorted(map(str, bow.term_frequency(docs, task_rows=100).collect())) == sorted(map(str, plain.collect()))
+    keys, rows = docs.select("doc_id").distinct(), bow.transform_bow(plain, bow.fit_vocab(plain))
+    packed = bow.pack_bow(keys, rows, colocate=True, parts=bow.parts_for(rows, task_rows=100))
+    assert dealt(packed) == bow.parts_for(rows, task_rows=100) > 20
+    assert features(packed) == features(bow.pack_bow(keys, rows))
+    assert bow.parts_for(docs.limit(0)) == bow.parts_for(docs.limit(0), bow.text_rows()) == 1
+
+
+def test_large_bags_are_dealt_by_their_terms(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "if(id % 3 = 0, null, concat('ab w', id % 7, ' v', id)) AS text")
+    vocab = bow.fit_vocab(bow.token_rows(docs))
+    plain = features(bow.bag_of_words(docs, vocab))
+    counted = bow.with_counts(docs)
+    for rows in (None, bow.text_rows()):
+        made = bow.bag_of_counts(counted, vocab, broadcast_bytes=0, head_terms=1, rows=rows, task_rows=50)
+        assert features(made) == plain
