@@ -1,11 +1,15 @@
 """The five corpora end to end on small inputs, and their output files."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import bow
 from corpusloom.plans import corpora
 from corpusloom.sinks import writers
 from corpusloom.sources import readers
+from tests.plans import plan
 from tests.test_sources import HIERARCHY, put
 
 
@@ -158,6 +162,17 @@ def test_news_corpus_in_halves(spark, tmp_path):
     assert len(lines(spark, tmp_path / "out" / "train" / "labeledBow.feat")) == counts["train"]
 
 
+def test_news_rows_are_dealt_by_their_number(spark):
+    """Four million rows of words and a bit more ask for five tasks of a million at most, in halves or not; the session shuffles to four."""
+    docs, taxons, doc_taxon, _, words = taxon_inputs(spark)
+    rows = 4 * bow.TASK_ROWS + 1
+    doc_word = spark.range(rows).selectExpr("id % 7 AS doc_id", "if(id < 14, id % 3, -1) AS word_id", "1 AS n")
+    for train_test in (None, (1, 1)):
+        made = corpora.news_corpus(docs, taxons, doc_taxon, doc_word, words, rarest=1, train_test=train_test)
+        assert re.search(r"hashpartitioning\(doc_id#\d+L?, 5\), REPARTITION_BY_NUM", plan(made.features))
+        assert sum(e.tf for r in made.features.collect() for e in r.features) == 14
+
+
 def test_settings_are_plain_values():
     changed = corpora.with_settings(corpora.REVIEWS, seed=None)
     assert changed.seed is None and corpora.REVIEWS.seed == 1234
