@@ -265,3 +265,31 @@ def test_large_bags_are_dealt_by_their_terms(spark):
     for rows in (None, bow.text_rows()):
         made = bow.bag_of_counts(counted, vocab, broadcast_bytes=0, head_terms=1, rows=rows, task_rows=50)
         assert features(made) == plain
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_more_rows_of_rare_keys_make_more_tasks(spark, how):
+    """Not the session's number whatever the input is; null, repeated, frequent and unknown keys meet what a join gives them."""
+    key = "CASE WHEN id % 9 = 0 THEN null WHEN id % 5 = 0 THEN 'k1' ELSE concat('k', id div 3) END"
+    rows = spark.range(900).selectExpr(f"{key} AS key", "id AS n")
+    table = spark.range(0, 250).selectExpr("concat('k', id) AS key", "id AS value")
+    whole = sorted(map(str, rows.join(table, "key", how).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for head_terms, task_rows, tasks in ((0, 100, 8), (20, 100, 7), (0, 1 << 20, None), (20, 50, 13)):
+            got = bow.match(rows, table, "key", how, broadcast_bytes=0 if not head_terms else 1000, head_terms=head_terms, task_rows=task_rows)
+            dealt = re.findall(r"hashpartitioning\(key#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(got))
+            assert set(dealt) == (set() if tasks is None else {str(tasks)})
+            assert sorted(map(str, got.collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rare_words_are_dealt_by_their_number(spark):
+    """Four million rows of words and a bit more, none of them frequent, ask for five tasks of a million at most; the session shuffles to four."""
+    rows = spark.range(4 * bow.TASK_ROWS + 1).selectExpr("id AS word_id", "1 AS n")
+    words = spark.range(10).selectExpr("id * 1000 AS word_id", "'w' AS term")
+    got = bow.match(rows, words, "word_id", broadcast_bytes=0, head_terms=0, stored=True)
+    assert re.search(r"hashpartitioning\(word_id#\d+L?, 5\), REPARTITION_BY_NUM", plan(got))
+    assert got.count() == 10
