@@ -63,11 +63,16 @@ def _vocab_by_unicode_token(spark, sf):
     return bow.fit_vocab(tokens).select("word_id", "term", "train_count")
 
 
-def doc_word_tables(spark, sf):
-    """``doc_word(doc_id, word_id, n)`` and ``words(word_id, term)``, written as given tables are."""
+def doc_words(spark, sf):
+    """Rows of ``doc_word(doc_id, word_id, n)``, for whoever writes them, and ``words(word_id, term)``."""
     tf = materialize(bow.term_frequency(table(spark, sf, "documents")), "tf")
     words = materialize(ordered_positions(tf.select("term").distinct(), ["term"], "word_id"), "words")
-    doc_word = bow.match(tf, words, "term", stored=True).select("doc_id", "word_id", F.col("tf").alias("n"))
+    return bow.match(tf, words, "term", stored=True).select("doc_id", "word_id", F.col("tf").alias("n")), words
+
+
+def doc_word_tables(spark, sf):
+    """``doc_word`` and ``words``, written as given tables are."""
+    doc_word, words = doc_words(spark, sf)
     return materialize(doc_word, "doc_word"), words
 
 

@@ -12,6 +12,7 @@ from corpusloom.functions.labels import check_known
 from corpusloom.operators.corpus import number_written, select_categories, with_counters
 from corpusloom.operators.taxonomy import top_topics
 from corpusloom.plans import corpora
+from corpusloom.session import passing_tables
 from corpusloom.sinks import publish, writers
 from corpusloom.sources import matrices, readers
 
@@ -158,11 +159,13 @@ def news_run(
 ) -> None:
     """``tables`` is a folder of the Parquet tables documents, taxons, doc_taxon, doc_word and words, or these tables by name.
 
-    Several runs over the same tables read them best from ``news_tables``. ``options`` go to ``news_corpus``.
+    Several runs over the same tables read them best from ``news_tables``. ``options`` go to ``news_corpus``. Tables written on the way go
+    when the run ends.
     """
     given = tables if isinstance(tables, Mapping) else {n: spark.read.parquet(f"{tables.rstrip('/')}/{n}") for n in NEWS_TABLES}
     docs, *others = (given[name] for name in NEWS_TABLES)
-    made = corpora.news_corpus(docs, *others, train_test=train_test, **options)
-    made.write(out)
-    with publish.staging(spark, out, [BODIES]) as staged:
-        writers.write_bodies(made.bodies(docs.select("doc_id", "text")), f"{staged}/{BODIES}")
+    with passing_tables(spark):
+        made = corpora.news_corpus(docs, *others, train_test=train_test, **options)
+        made.write(out)
+        with publish.staging(spark, out, [BODIES]) as staged:
+            writers.write_bodies(made.bodies(docs.select("doc_id", "text")), f"{staged}/{BODIES}")

@@ -1,10 +1,13 @@
 """Standard runs from files to output directories."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
+from corpusloom.catalog import standard_runs
 from corpusloom.plans import corpora, runs
+from corpusloom.session import new_path
 from corpusloom.sources import readers
 from tests.test_corpora import lines, taxon_inputs
 from tests.test_sources import HIERARCHY, put
@@ -78,6 +81,26 @@ def test_news_run(spark, tmp_path):
     assert len(lines(spark, tmp_path / "out" / "labeledBow.feat")) + len(lines(spark, tmp_path / "out" / "unsupBow.feat")) == 7
 
 
+def test_news_runs_leave_only_their_outputs(spark, tmp_path):
+    """Neither the tables a run makes on its way nor those that given tables are made from stay on disk."""
+    folder = os.path.dirname(new_path(spark, "t"))
+    made = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    docs, *others = taxon_inputs(spark)
+    docs = docs.withColumn("text", F.concat(F.lit("t"), "doc_id"))
+    tables, before = dict(zip(runs.NEWS_TABLES, (docs, *others), strict=True)), made()
+    runs.news_run(spark, tables, str(tmp_path / "out"))
+    runs.news_run(spark, tables, str(tmp_path / "halves"), train_test=(1, 1))
+    assert made() == before
+    assert spark.read.parquet(str(tmp_path / "halves" / "txt")).count() == 7
+    rows = [(i, f"Some words w{i}", ("en", "de")[i % 2], "src0", 9) for i in range(8)]
+    sources = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sources.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "sf" / "labels.parquet"))
+    root = standard_runs._news_folder(spark, str(tmp_path / "sf"))
+    assert [f"{folder}/{name}" for name in made() - before] == [root]
+    assert spark.read.parquet(f"{root}/doc_word").count() == 24 and spark.read.parquet(f"{root}/words").count() == 10
+
+
 def test_spread_leaves_wide_inputs_alone(spark):
     wide = spark.range(0, 100, 1, 16)
     assert readers.spread(wide) is wide
