@@ -1,11 +1,13 @@
+import bz2
 import gzip
 import json
+import zlib
 
 import pytest
 
 from corpusloom.operators import labels
 from corpusloom.sinks import writers
-from corpusloom.sources import readers
+from corpusloom.sources import readers, small_files
 
 RECORDS = ".I 11\n.W\nalpha beta\ngamma\n\n.I 12\n.W\nbeta beta\n\n.I 13\n.W\n"
 
@@ -171,3 +173,62 @@ def test_many_movie_files_are_read_in_few_tasks(spark, tmp_path):
     rows = {(r.label, r.doc_id): (r.fold, r.text) for r in got.collect()}
     assert rows.pop((1, 7)) == (0, "a\nb\nc\n")
     assert rows == {(0, i): (i // 100, "\n" if i == 5 else f"film {i}\n") for i in range(900)}
+
+
+def odd_folder(root):
+    """Files that Spark's reader of whole texts takes, leaves out or unpacks."""
+    put(root / "neg" / "cv013_29416.txt", "bad\nfilm\n")
+    put(root / "neg" / "name=cv015_2.txt" / "part-0.txt", "one part")
+    for hidden in ("_SUCCESS", ".cv017_4.txt", "_temporary/cv018_5.txt", ".in/cv019_6.txt", "cv020_7.txt._COPYING_", "_metadata"):
+        put(root / "neg" / hidden, "hidden")
+    put(root / "pos" / "cv913_5.txt", "good")
+    put(root / "pos" / "cv914_6.txt", "")
+    put(root / "pos" / "cv915_7.txt.gz", "packed")
+    put(root / "pos" / "cv916_8.gz", "")
+    (root / "pos" / "cv917_9.bz2").write_bytes(bz2.compress(b"packed, too"))
+    (root / "pos" / "cv918_10.deflate").write_bytes(zlib.compress(b"and this"))
+    (root / "pos" / "cv919_11.txt").write_bytes(b"\xef\xbb\xbfno \xff\xfe text\x00\r\n")
+    return str(root)
+
+
+def test_small_files_are_those_of_the_whole_text_reader(spark, tmp_path):
+    root = odd_folder(tmp_path / "a b%20c")
+    put(tmp_path / "a b%20c" / "neg" / "deeper" / "still deeper" / "cv014_1.txt", "below \u00e9")
+    put(tmp_path / "a b%20c" / "neg" / "_name=x" / "cv016_3.txt", "a column")
+    for paths in ([f"{root}/neg", f"{root}/pos"], [f"{root}/*"], [f"file://{tmp_path}/a*/pos"]):
+        want = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
+        bytes_of = lambda df: sorted(bytes(r[0]) for r in df.selectExpr("cast(value AS binary)").collect())
+        got = small_files.read_whole(spark, paths)
+        assert bytes_of(got) == bytes_of(want) and got.schema["value"].dataType == want.schema["value"].dataType
+    put(tmp_path / "x" / "cv1_1.snappy", "x")
+    with pytest.raises(Exception, match="compression"):
+        small_files.read_whole(spark, [f"{tmp_path}/x"]).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        small_files.read_whole(spark, [f"{root}/neg", f"{root}/absent"])
+    assert small_files.read_whole(spark, [put(tmp_path / "one.txt", "a file")]).first().value == "a file"
+
+
+def test_the_driver_lists_no_movie_files(spark, tmp_path):
+    root = odd_folder(tmp_path)
+    got = readers.read_movie_reviews(spark, root)
+    assert got.inputFiles() == []
+    want = [(0, 2), (0, 29416), (1, 5), (1, 7), (1, 8), (1, 9), (1, 10), (1, 11)]
+    assert sorted((r.label, r.doc_id) for r in got.collect()) == want
+
+
+def test_a_store_that_pyarrow_does_not_reach_is_read_by_spark(spark, tmp_path, monkeypatch):
+    root = odd_folder(tmp_path)
+    rows = lambda: sorted(map(repr, readers.read_movie_reviews(spark, root).collect()))
+    want = rows()
+    monkeypatch.setattr(small_files, "_folders", lambda *_: None)
+    assert rows() == want
+
+
+def test_files_of_large_folders_are_handed_on_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(small_files, "BATCH_ROWS", 7)
+    monkeypatch.setattr(small_files, "BATCH_BYTES", 40)
+    for i in range(300):
+        name = f"cv{i:03d}_{i}.txt"
+        put(tmp_path / "pos" / f"name={name}" / "part" if i % 2 else tmp_path / "neg" / name, f"film {i}" * (i % 5 + 1))
+    got = {r.doc_id: (r.label, r.text) for r in readers.read_movie_reviews(spark, str(tmp_path)).collect()}
+    assert got == {i: (i % 2, f"film {i}" * (i % 5 + 1)) for i in range(300)}
