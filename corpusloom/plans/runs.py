@@ -110,16 +110,17 @@ def review_runs(
 
 
 def movie_run(spark: SparkSession, root: str, out: str) -> None:
-    """The movie corpus from one-document files, which are read once, into a table of few large files."""
+    """The movie corpus from one-document files, which are read once, into a table of few large files. Tables written on the way go when the run ends."""
     stages = Stages(spark, out)
-    reviews = stages.table("movies", lambda: readers.read_movie_reviews(spark, root))
-    stages.corpus(out, lambda: corpora.movie_corpus(reviews))
 
     def write_ids(path: str) -> None:
         with publish.staging(spark, path, [IDS_FILE, FOLDS_FILE]) as staged:
             writers.write_ids_folds(reviews.withColumn("class", F.col("label")), f"{staged}/{IDS_FILE}", f"{staged}/{FOLDS_FILE}", corpora.MOVIE_ORDER.columns())
 
-    stages.output(out, [IDS_FILE, FOLDS_FILE], write_ids)
+    with passing_tables(spark):
+        reviews = stages.table("movies", lambda: readers.read_movie_reviews(spark, root))
+        stages.corpus(out, lambda: corpora.movie_corpus(reviews))
+        stages.output(out, [IDS_FILE, FOLDS_FILE], write_ids)
     stages.done()
 
 

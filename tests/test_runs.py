@@ -81,23 +81,36 @@ def test_news_run(spark, tmp_path):
     assert len(lines(spark, tmp_path / "out" / "labeledBow.feat")) + len(lines(spark, tmp_path / "out" / "unsupBow.feat")) == 7
 
 
+def written(spark):
+    folder = os.path.dirname(new_path(spark, "t"))
+    return {f"{folder}/{name}" for name in os.listdir(folder)} if os.path.isdir(folder) else set()
+
+
+def test_movie_runs_leave_only_their_outputs(spark, tmp_path):
+    """The driver lists no file, and the tables a run makes on its way do not stay on disk."""
+    for i in range(8):
+        put(tmp_path / "in" / ("neg", "pos")[i % 2] / f"cv{i:03d}_{i}.txt", f"a film {i}{i}\n")
+    before = written(spark)
+    runs.movie_run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert written(spark) == before and sorted(lines(spark, tmp_path / "out" / "docids")) == [str(i) for i in range(8)]
+    assert not os.path.exists(tmp_path / "out" / "_stages")
+
+
 def test_news_runs_leave_only_their_outputs(spark, tmp_path):
     """Neither the tables a run makes on its way nor those that given tables are made from stay on disk."""
-    folder = os.path.dirname(new_path(spark, "t"))
-    made = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
     docs, *others = taxon_inputs(spark)
     docs = docs.withColumn("text", F.concat(F.lit("t"), "doc_id"))
-    tables, before = dict(zip(runs.NEWS_TABLES, (docs, *others), strict=True)), made()
+    tables, before = dict(zip(runs.NEWS_TABLES, (docs, *others), strict=True)), written(spark)
     runs.news_run(spark, tables, str(tmp_path / "out"))
     runs.news_run(spark, tables, str(tmp_path / "halves"), train_test=(1, 1))
-    assert made() == before
+    assert written(spark) == before
     assert spark.read.parquet(str(tmp_path / "halves" / "txt")).count() == 7
     rows = [(i, f"Some words w{i}", ("en", "de")[i % 2], "src0", 9) for i in range(8)]
     sources = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     sources.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "sf" / "labels.parquet"))
     root = standard_runs._news_folder(spark, str(tmp_path / "sf"))
-    assert [f"{folder}/{name}" for name in made() - before] == [root]
+    assert written(spark) - before == {root}
     assert spark.read.parquet(f"{root}/doc_word").count() == 24 and spark.read.parquet(f"{root}/words").count() == 10
 
 
